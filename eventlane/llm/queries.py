@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlane.llm import ann, bpe, gam, mixing, radix, rules, simhash, toxicity, wordpiece
+from eventlane.llm import ann, bpe, gam, mixing, passages, radix, rules, simhash, toxicity, wordpiece
 from eventlane.llm.oracles import ORACLES as ORACLES
 from eventlane.llm.text import crc_bucket, table
 
@@ -19,6 +19,12 @@ def _labels(spark: SparkSession, sf_dir: str, label: str, n: int, held_out: int)
     return d.where(crc_bucket(d["doc_id"], n) != held_out).select(d["doc_id"], d[label].cast("int").alias("label"))
 
 
+def op1_passages_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.classes(passages.near_duplicate_passages(table(spark, sf_dir, "documents")))
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", covered.alias("dup_words"), F.size("spans").cast("long").alias("n_passages"), "n_links", "class_id")
+
+
 def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(table(spark, sf_dir, "documents"), _labels(spark, sf_dir, "toxic", 5, 0))
     return found.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "flagged")
@@ -65,4 +71,4 @@ def op10_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity_cnn, op3_wordpiece_counts, op4_bpe_rank_queue, op5_multiprobe_lsh, op6_simhash_golay, op7_mix_sainte_lague, op8_rule_ledger, rule_ablation, op9_gam_pairs, op10_suffix_radix)}
+QUERIES = {f.__name__: f for f in (op1_passages_compact_windows, op2_toxicity_cnn, op3_wordpiece_counts, op4_bpe_rank_queue, op5_multiprobe_lsh, op6_simhash_golay, op7_mix_sainte_lague, op8_rule_ledger, rule_ablation, op9_gam_pairs, op10_suffix_radix)}
