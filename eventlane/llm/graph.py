@@ -27,6 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Edges that one task takes; fewer need no exchange between the steps of a round.
+EDGES_PER_TASK = 200_000
+
+
+def _dealt(e: DataFrame, n: int) -> DataFrame:
+    """Edges in as many parts as their number asks for (never more than they have)."""
+    return e.coalesce(max(1, -(-n // EDGES_PER_TASK)))
+
+
 def components(edges: DataFrame, most: int = 100) -> DataFrame:
     """``node`` and ``root`` (the least node reachable) for each node of ``edges`` (``a``, ``b``, longs).
 
@@ -37,8 +46,9 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(e)
+    e = _dealt(e, mark[0])
     for _ in range(most):
-        both = e.union(e.select("v", "u"))
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("p")).select("p.u", "p.v")
         least = both.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.col("x")).alias("m"))
         large = both.where("v >= u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.col("x")).alias("m"))
@@ -47,6 +57,7 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
         mark, before = _mark(e), mark
         if mark == before:
             break
+        e = _dealt(e, mark[0])
     else:
         raise RuntimeError("the components have not settled")
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
