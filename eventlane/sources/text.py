@@ -100,7 +100,14 @@ def read_json(spark: SparkSession, path: str, fields: str = f"{KEY},{TIME}", ski
         nested = nested | k.startswith("OBJECT") | k.startswith("ARRAY")
     d = _lines(spark, path).where("line <> ''").withColumn("o", F.from_json("line", shape))
     fatal = F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), F.concat(F.lit("invalid JSON: "), F.col("line"))).when(nested, F.concat(F.lit("nested value: "), F.col("line")))
-    d = d.select("line", "seq", fatal.alias("fatal"), *[F.col("o")[n].alias(n) for n in names])
+
+    def spelled(n: str, kind: Column) -> Column:
+        """A number as it is written: the parser would write 1.50 as 1.5."""
+        text = F.regexp_extract("line", f'"{n}"\\s*:\\s*(-?[0-9][-+0-9.eE]*)', 1)
+        same = text.try_cast("double") == F.col("o")[n].try_cast("double")
+        return F.when(~kind.isin("", "STRING", "BOOLEAN", "VOID") & same, text).otherwise(F.col("o")[n])
+
+    d = d.select("line", "seq", fatal.alias("fatal"), *[spelled(n, k).alias(n) for n, k in zip(names, kinds, strict=True)])
     return _checked(d, wanted, skip_bad)
 
 
