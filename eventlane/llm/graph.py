@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,44 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Edges that a task holds while it thins them.
+HELD = 1 << 18
+
+
+def forest(batches):
+    """Arrow batches of edges (``a``, ``b``) to fewer that connect the same nodes: a spanning forest of each ``HELD`` edges."""
+    held, n = [], 0
+
+    def thin():
+        a, b = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        above: dict[int, int] = {}
+        out = []
+        for edge in zip(a.tolist(), b.tolist(), strict=True):
+            ends = []
+            for x in edge:
+                top = x
+                while (up := above.get(top, top)) != top:
+                    top = up
+                while x != top:
+                    above[x], x = top, above.get(x, x)
+                ends.append(top)
+            u, v = ends
+            if u != v:
+                above[max(u, v)] = min(u, v)
+                out.append(edge)
+        got = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        n += len(batch)
+        if n >= HELD:
+            yield thin()
+            held, n = [], 0
+    if n:
+        yield thin()
+
+
 #: Edges that one task takes; fewer need no exchange between the steps of a round.
 EDGES_PER_TASK = 200_000
 

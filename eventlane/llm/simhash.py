@@ -9,7 +9,8 @@ with the perfect binary Golay code; a word at distance 3 from its codeword also
 takes the five codewords at distance 4.  Two words one bit apart then share a
 codeword.  Keys are (pair, equal segment, codeword index): three to eighteen
 for each fingerprint.  Equal fingerprints are collapsed first, candidates are
-verified inside the join, and the classes are connected components.
+verified as they meet, and the classes are connected components.  A key that
+many different fingerprints share has an exact way of its own (``links``).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlane.llm.graph import components, cut
+from eventlane.llm.graph import components, cut, forest
 from eventlane.llm.text import id_text, texts
 
 SHINGLE = 3
@@ -31,6 +32,8 @@ DISTANCE = 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (a fixed value).
 GENERATOR = 0b101011100011
+#: Fingerprints of a key that are compared pairwise.
+SMALL = 64
 _SLICE = 1 << 15
 
 
@@ -119,8 +122,15 @@ def keys(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(out)
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Pairs ``a`` < ``b`` of distinct fingerprints (column ``fp``) that differ in at most two bits, each at least once."""
+def links(distinct: DataFrame, small: int = SMALL) -> DataFrame:
+    """Pairs ``a``, ``b`` of distinct fingerprints (column ``fp``) that differ in at most two bits: enough of them to connect all that are linked.
+
+    Keys of at most ``small`` fingerprints are compared pairwise.  Fingerprints
+    that share a larger key are met at the words one bit away from them: two of
+    them differ in at most two bits exactly if they have such a word (or
+    themselves) in common, and no word is next to more than 64.  So a dense
+    group costs 65 rows for each of its members, never a pair of all.
+    """
 
     def run(batches):
         golay = Golay()
@@ -130,9 +140,24 @@ def links(distinct: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(fp[at], pa.int64())], ["key", "fp"])
 
     k = distinct.select("fp").mapInArrow(run, "key long, fp long")
-    left, right = k.select("key", F.col("fp").alias("a")), k.select(F.col("key").alias("other"), F.col("fp").alias("b"))
-    near = (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
-    return left.join(right.hint("merge"), near).select("a", "b").distinct()
+    sizes = k.groupBy(F.col("key").alias("shared")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = cut(k.join(sizes.hint("merge"), F.col("key") == F.col("shared")).select("key", "fp", "n"))
+
+    groups = held.where(F.col("n") <= small).groupBy("key").agg(F.collect_list("fp").alias("g"))
+    later = F.filter(F.slice("g", F.col("i") + 2, small), lambda b: F.bit_count(F.col("a").bitwiseXOR(b)) <= DISTANCE)
+    pairs = groups.select("g", F.posexplode("g").alias("i", "a")).select("a", F.explode(later).alias("b"))
+
+    def next_to(batches):
+        step = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
+        for b in batches:
+            fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            word = (fp.view(np.uint64)[:, None] ^ step).ravel().view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(np.repeat(fp, 65), pa.int64())], ["word", "fp"])
+
+    dense = held.where(F.col("n") > small).select("fp").distinct().mapInArrow(next_to, "word long, fp long")
+    met = dense.groupBy("word").agg(F.collect_list("fp").alias("g")).where(F.size("g") > 1)
+    stars = met.select(F.element_at("g", 1).alias("a"), F.explode(F.slice("g", 2, 65)).alias("b"))
+    return pairs.unionByName(stars).mapInArrow(forest, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from eventlane.llm import ann, bpe, gam, mixing, passages, radix, rules, simhash, toxicity, wordpiece
+from eventlane.llm import ann, bpe, gam, graph, mixing, passages, radix, rules, simhash, toxicity, wordpiece
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 DOC = "doc_id long, text string, lang string, source string, n_chars long, kept string, fp string, size string, fail_bits string"
@@ -83,6 +83,23 @@ def test_golay_keys_and_components(spark):
     assert got == {3: 3, 9: 3, 5: 5, 7: 7, 8: 7}
 
 
+@pytest.mark.parametrize("small", [3, 64])
+def test_dense_groups_equal_brute_force(spark, small):
+    rng = np.random.default_rng(12)
+    core = rng.integers(0, 2**64, 4, dtype=np.uint64)
+    flips = [sum({1 << int(k): 0 for k in rng.integers(0, 64, rng.integers(0, 5))}) for _ in range(400)]
+    fps = np.unique(core[np.arange(400) % 4] ^ np.array(flips, np.uint64))
+    top = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 2):
+            top = [min(top[i], top[j]) if t in (top[i], top[j]) else t for t in top]
+    own = fps.view(np.int64).tolist()
+    distinct = spark.createDataFrame([(x,) for x in own], "fp long").repartition(3)
+    root = {r["node"]: r["root"] for r in graph.components(simhash.links(distinct, small)).collect()}
+    groups = lambda names: sorted(sorted(x for x, m in zip(own, names) if m == n) for n in set(names))
+    assert groups([root.get(x, x) for x in own]) == groups(top)
+
+
 def test_bpe_equals_tiktoken():
     import tiktoken
 
