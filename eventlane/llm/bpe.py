@@ -14,39 +14,44 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from bisect import insort
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from eventlane.llm.text import id_text
 
-#: Entries of each generation of what a worker remembers, letters of the longest, and ranks of pairs.
-REMEMBERED = 1 << 18
+#: Entries of each generation of what a worker remembers (runs between blanks, matches), letters of the longest, and ranks of pairs.
+UNITS, PIECES = 1 << 18, 1 << 17
 REMEMBERED_LETTERS = 40
-PAIRS = 1 << 20
+PAIRS = 1 << 18
+#: Rows that a worker holds as Python objects.
+ROWS = 256
 #: A space before white space.
 BLANKS = re.compile(r" \s| $").search
 
 
 class Recent:
-    """What was found lately, in two generations of bounded size (results do not depend on it)."""
+    """What was found lately, ids packed in two bytes each, in two generations of bounded size (results do not depend on it)."""
 
-    __slots__ = ("new", "old")
+    __slots__ = ("most", "new", "old")
 
-    def __init__(self):
-        self.new: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+    def __init__(self, most: int):
+        self.most = most
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def get(self, key: str) -> list[int] | None:
+    def get(self, key: str) -> bytes | None:
         found = self.new.get(key)
         if found is None and (found := self.old.get(key)) is not None:
             self.put(key, found)
         return found
 
-    def put(self, key: str, ids: list[int]) -> list[int]:
+    def put(self, key: str, ids: bytes) -> bytes:
         if len(key) <= REMEMBERED_LETTERS:
-            if len(self.new) >= REMEMBERED:
+            if len(self.new) >= self.most:
                 self.old, self.new = self.new, {}
             self.new[key] = ids
         return ids
@@ -65,7 +70,7 @@ class Vocabulary:
         self.byte_id = [ranks[bytes([k])] for k in range(256)]
         self.of_bytes = [[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]
         self.pair: dict[int, int] = {}
-        self.pieces, self.units = Recent(), Recent()
+        self.pieces, self.units = Recent(PIECES), Recent(UNITS)
 
     @classmethod
     def parse(cls, lines: bytes, pattern: str) -> Vocabulary:
@@ -153,17 +158,17 @@ class Vocabulary:
                 rank_at[h], at = new, h
         return [x for x in ids if x >= 0]
 
-    def encode_run(self, text: str) -> list[int]:
-        """Ids of a text by the pattern's matches."""
-        pieces, out = self.pieces, []
+    def encode_run(self, text: str) -> bytes:
+        """Packed ids of a text by the pattern's matches."""
+        pieces, out = self.pieces, bytearray()
         for piece in self.find(text):
             ids = pieces.get(piece)
             if ids is None:
-                ids = pieces.put(piece, self.encode_piece(piece.encode()))
+                ids = pieces.put(piece, array("H", self.encode_piece(piece.encode())).tobytes())
             out += ids
-        return out
+        return bytes(out)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> array:
         """Ids of a whole text, each match of the pattern by itself, no special tokens.
 
         A match never reaches over a space that stands before something else
@@ -171,20 +176,23 @@ class Vocabulary:
         it ends one.  So the text may be cut there, and runs between two cuts
         are remembered as wholes.
         """
+        ids = array("H")
         if BLANKS(text):
-            return self.encode_run(text)
+            ids.frombytes(self.encode_run(text))
+            return ids
         first, *rest = text.split(" ")
-        out, units = self.encode_run(first), self.units
+        out, units = bytearray(self.encode_run(first)), self.units
         known = units.new.get
         for unit in rest:
-            ids = known(unit)
-            if ids is None:
-                ids = units.get(unit)
-                if ids is None:
-                    ids = units.put(unit, self.encode_run(" " + unit))
-                    known = units.new.get
-            out += ids
-        return out
+            run = known(unit)
+            if run is None:
+                run = units.get(unit)
+                if run is None:
+                    run = units.put(unit, self.encode_run(" " + unit))
+                known = units.new.get
+            out += run
+        ids.frombytes(bytes(out))
+        return ids
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -202,6 +210,12 @@ def loaded(lines: bytes, pattern: str) -> Vocabulary:
     return _LOADED[name]
 
 
+def _slices(batches):
+    for b in batches:
+        for at in range(0, len(b), ROWS):
+            yield b.slice(at, ROWS)
+
+
 def _shared(docs: DataFrame, path: str):
     with open(path, "rb") as f:  # on the driver: a vocabulary file has a fixed size, about 1 MB
         return docs.sparkSession.sparkContext.broadcast(f.read())
@@ -213,8 +227,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         v = loaded(lines.value, pattern)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.encode(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for b in _slices(batches):
+            ids, ends = array("H"), [0]
+            for t in b.column(1).to_pylist():
+                ids.extend(v.encode(t or ""))
+                ends.append(len(ids))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.uint16).astype(np.int32)))], ["doc_id", "ids"])
 
     d = id_text(docs)
     return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, ids array<int>")
@@ -226,7 +244,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         v = loaded(lines.value, pattern)
-        for b in batches:
+        for b in _slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.decode(x or ()) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "decoded"])
 
     d = encoded.select("doc_id", "ids")
@@ -244,7 +262,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         v = loaded(lines.value, pattern)
-        for b in batches:
+        for b in _slices(batches):
             n, a, d = [], [], []
             for t in b.column(1).to_pylist():
                 ids = v.encode(t or "")
