@@ -60,7 +60,7 @@ class Recent:
 class Vocabulary:
     """Ranks of byte strings (below 2^16); ids are ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, units: int = UNITS):
         import regex
 
         self.ranks = ranks
@@ -70,11 +70,11 @@ class Vocabulary:
         self.byte_id = [ranks[bytes([k])] for k in range(256)]
         self.of_bytes = [[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]
         self.pair: dict[int, int] = {}
-        self.pieces, self.units = Recent(PIECES), Recent(UNITS)
+        self.pieces, self.units = Recent(PIECES), Recent(units)
 
     @classmethod
-    def parse(cls, lines: bytes, pattern: str) -> Vocabulary:
-        return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines()) if a}, pattern)
+    def parse(cls, lines: bytes, pattern: str, units: int = UNITS) -> Vocabulary:
+        return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines()) if a}, pattern, units)
 
     def merged(self, key: int) -> int:
         """Rank of a pair of ids (the first in the high bits) that isn't known yet, -1 if there is none."""
@@ -201,12 +201,12 @@ class Vocabulary:
 _LOADED: dict[str, Vocabulary] = {}
 
 
-def loaded(lines: bytes, pattern: str) -> Vocabulary:
+def loaded(lines: bytes, pattern: str, units: int = UNITS) -> Vocabulary:
     """A worker keeps one vocabulary, whatever the number of its tasks."""
-    name = hashlib.sha256(lines + pattern.encode()).hexdigest()
+    name = hashlib.sha256(b"%d " % units + lines + pattern.encode()).hexdigest()
     if name not in _LOADED:
         _LOADED.clear()
-        _LOADED[name] = Vocabulary.parse(lines, pattern)
+        _LOADED[name] = Vocabulary.parse(lines, pattern, units)
     return _LOADED[name]
 
 
@@ -251,17 +251,18 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, units: int = 4 * UNITS) -> DataFrame:
     """Each row's ids encoded and decoded again in one pass, as digests.
 
     ``doc_id``, ``n_tokens``, ``ids_sha256`` (decimal ids joined by commas) and
     ``decoded_sha256``: what ``encode`` and ``decode`` give, without carrying
-    ids between two stages.  A null text counts as empty.
+    ids between two stages.  A null text counts as empty.  ``units``: runs that a
+    worker remembers, about 0.2 KB each, twice over; no result depends on it.
     """
     lines = _shared(docs, path)
 
     def run(batches):
-        v = loaded(lines.value, pattern)
+        v = loaded(lines.value, pattern, units)
         for b in _slices(batches):
             n, a, d = [], [], []
             for t in b.column(1).to_pylist():
