@@ -107,9 +107,15 @@ def test_bpe_equals_tiktoken():
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
     rng = random.Random(6)
     parts = ["a", "b", " ", "  ", "\n", "\t", "'s", "1", "é", ".", "日", " x", "ing", " the", "\x1c", "\x85", "<|endoftext|>"]
-    for t in ["", "a" * 5000, "aaab" * 3000, *("".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(3000))]:
-        assert v.encode(t).tolist() == enc.encode_ordinary(t)
-        assert v.decode(v.encode(t)) == t.encode()
+    texts = ["", "a" * 5000, "aaab" * 3000, *("".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(3000))]
+    texts += [" ".join("".join(rng.choices("abcdehinorstuéñ", k=rng.randint(1, 14))) for _ in range(200)) for _ in range(60)]
+    together = v.encode_all(texts)  # many places of one rank at once
+    for t, packed in zip(texts, together, strict=True):
+        own = memoryview(packed).cast("H").tolist()
+        assert own == v.encode(t).tolist() == enc.encode_ordinary(t)
+        assert v.decode(own) == t.encode()
+    fresh = bpe.Vocabulary(v.ranks, public_tokenizers.PATTERN)
+    assert [fresh.encode_all([t])[0] for t in texts] == together
 
 
 def test_wordpiece_equals_greedy():
