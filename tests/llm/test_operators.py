@@ -189,6 +189,28 @@ def test_passages_are_found(spark):
             assert r["class_id"] == r["doc_id"] and not r["spans"]
 
 
+def near_windows(a, b, size=46):
+    """Starts of windows of shingles of ``a`` with Jaccard similarity 0.8 or more with some window of ``b``."""
+    x, y = ([tuple(t[i : i + 5]) for i in range(len(t) - 4)] for t in (a, b))
+    sets = [set(y[j : j + size]) for j in range(len(y) - size + 1)]
+    near = lambda s, t: 10 * len(s & t) >= 8 * len(s | t)
+    return [i for i in range(len(x) - size + 1) if any(near(set(x[i : i + size]), t) for t in sets)]
+
+
+@pytest.mark.parametrize("inserted", [[(150, 7)], [(90, 6)], [(60 * k, 1 + k % 3) for k in range(1, 10)]])
+def test_copies_with_insertions_equal_brute_force(spark, inserted):
+    rng = random.Random(13)
+    v = [f"w{i}" for i in range(5000)]
+    first = rng.choices(v, k=250 if len(inserted) == 1 else 600)
+    copy = list(first)
+    for at, n in reversed(inserted):
+        copy[at:at] = rng.choices(v, k=n)
+    want = sorted({i + j for i in near_windows(copy, first) for j in range(50)})
+    rows = {r["doc_id"]: r["spans"] for r in passages.near_duplicate_passages(docs(spark, [(1, " ".join(first)), (2, " ".join(copy))])).collect()}
+    got = sorted({j for s in rows[2] for j in range(s["start"], s["end"])})
+    assert got == want and not rows[1]
+
+
 @pytest.mark.parametrize("score", [gam.score, toxicity.score])
 def test_scores_learn(spark, score):
     rng = random.Random(11)
