@@ -211,6 +211,36 @@ def test_copies_with_insertions_equal_brute_force(spark, inserted):
     assert got == want and not rows[1]
 
 
+def test_chains_and_frequent_lines_equal_brute_force(spark):
+    rng = random.Random(14)
+    v = [f"w{i}" for i in range(5000)]
+    rows = []
+    for c in range(12):  # each version is near the one before only
+        text = rng.choices(v, k=70)
+        for k in range(4):
+            rows.append((100 * k + c, list(text)))
+            text[8 + 16 * k] = f"changed{c}-{k}"
+    line, passage = rng.choices(v, k=14), rng.choices(v, k=60)
+    for k in range(30):  # the same line in all, the passage in the later ones only
+        rows.append((1000 + k, rng.choices(v, k=30) + line + (passage if k >= 20 else rng.choices(v, k=40))))
+    of = dict(rows)
+    ids, root, dup = sorted(of), {i: i for i in of}, {}
+    for d in ids:
+        hit = set()
+        for h in [h for h in ids if h < d and (d % 100 == h % 100 or (d >= 1000 and h >= 1000))]:
+            near = near_windows(of[d], of[h])
+            hit |= {i + j for i in near for j in range(50)}
+            if near:
+                a, b = root[d], root[h]
+                root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
+        dup[d] = hit
+    got = passages.classes(passages.near_duplicate_passages(docs(spark, [(i, " ".join(t)) for i, t in rows]), block_bytes=8000)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == root
+    for r in got:  # where an earlier passage was verified, a later holder that reaches further is not asked again
+        found = {j for s in r["spans"] for j in range(s["start"], s["end"])}
+        assert found <= dup[r["doc_id"]] and (found == dup[r["doc_id"]] or r["doc_id"] < 1000) and bool(found) == bool(dup[r["doc_id"]])
+
+
 @pytest.mark.parametrize("score", [gam.score, toxicity.score])
 def test_scores_learn(spark, score):
     rng = random.Random(11)
