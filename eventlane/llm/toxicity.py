@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventlane.llm.graph import cut
 from eventlane.llm.text import id_text, texts
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
@@ -116,41 +117,53 @@ class Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS):
-    """Hashed words, label and language of the rows to fit on, a bounded number whatever the size of ``labels``; the share of label 1.
+    """Hashed words and label of the rows to fit on, a bounded number whatever the size of ``labels``; the share of label 1.
 
     Null labels don't count; of several labels of one document the largest counts.
     """
-    one = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("h", F.md5(F.col("doc_id").cast("string")))
+    one = labelled(labels).withColumn("h", F.md5(F.col("doc_id").cast("string")))
     picked = None
     for k in (0, 1):
         part = one.where(F.col("label") == k).orderBy("h").limit(most_rows)
         picked = part if picked is None else picked.union(part)
     share = one.agg(F.avg(F.col("label").cast("double"))).first()[0] or 0.0
     picked = docs.sparkSession.createDataFrame(picked.select("doc_id", "label").collect(), "doc_id long, label int")
-    lang = docs["lang"] if "lang" in docs.columns else F.lit("")
-    d = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), F.coalesce(lang, F.lit("")).alias("lang"))
+    d = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([word_ids(t).astype(np.int32).tobytes() for t in texts(b.column(0))], pa.binary()), b.column(1), b.column(2), b.column(3)], ["ids", "label", "lang", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array([word_ids(t).astype(np.int32).tobytes() for t in texts(b.column(0))], pa.binary()), b.column(1), b.column(2)], ["ids", "label", "doc_id"])
 
-    rows = d.join(F.broadcast(picked.withColumnRenamed("doc_id", "picked")), F.col("doc_id") == F.col("picked")).select("text", "label", "lang", "doc_id").mapInArrow(run, "ids binary, label int, lang string, doc_id long").collect()
+    rows = d.join(F.broadcast(picked.withColumnRenamed("doc_id", "picked")), F.col("doc_id") == F.col("picked")).select("text", "label", "doc_id").mapInArrow(run, "ids binary, label int, doc_id long").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["ids"]))
-    return [np.frombuffer(r["ids"], np.int32).astype(np.int64) for r in rows], np.array([r["label"] for r in rows], float), [r["lang"] for r in rows], share
+    return [np.frombuffer(r["ids"], np.int32).astype(np.int64) for r in rows], np.array([r["label"] for r in rows], float), share
+
 
+def labelled(labels: DataFrame) -> DataFrame:
+    """One label a document: null labels don't count, of several the largest counts."""
+    return labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
 
-def thresholds(model: Model, rows, y, langs) -> dict[str, float]:
-    """For each language the threshold with the best F1 on the training rows (0.5 where there are under ten positives)."""
-    s = np.array([model.score(r) for r in rows])
+
+def thresholds(scored: DataFrame, labels: DataFrame) -> dict[str, float]:
+    """For each language the threshold with the best F1 on all labelled rows (0.5 where there are under ten positives).
+
+    Only counts by language and step of the grid reach the driver.
+    """
+    grid = np.linspace(0.05, 0.95, 19)
+    one = labelled(labels).select(F.col("doc_id").alias("labelled_id"), "label")
+    step = sum(((F.col("score") >= float(t)).cast("int") for t in grid), F.lit(0))
+    rows = scored.join(one, F.col("doc_id") == F.col("labelled_id")).groupBy("lang", step.alias("step")).agg(F.count_if(F.col("label") == 1).alias("n1"), F.count(F.lit(1)).alias("n")).collect()
+    counts: dict[str, np.ndarray] = {}
+    for r in rows:
+        counts.setdefault(r["lang"], np.zeros((2, len(grid) + 1), np.int64))[:, r["step"]] += (r["n1"], r["n"])
     out = {}
-    for g in sorted(set(langs)):
-        k = np.array([x == g for x in langs])
-        if y[k].sum() < 10:
+    for g, c in sorted(counts.items()):
+        hit, flagged = c[:, ::-1].cumsum(1)[:, ::-1][:, 1:]
+        if c[0].sum() < 10:
             out[g] = 0.5
             continue
-        grid = np.linspace(0.05, 0.95, 19)
-        f1 = [2 * (y[k] * (s[k] >= t)).sum() / max(1, y[k].sum() + (s[k] >= t).sum()) for t in grid]
-        close = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
+        f1 = 2 * hit / np.maximum(1, c[0].sum() + flagged)
+        close = np.flatnonzero(f1 >= f1.max() - 1e-9)
         out[g] = float(grid[close[np.argmin(np.abs(grid[close] - 0.5))]])
     return out
 
@@ -159,14 +172,14 @@ def score(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Dat
     """``doc_id``, ``score`` (probability of label 1) and ``flagged`` (by the language's threshold) for each row.
 
     ``labels`` has ``doc_id`` and ``label`` (0 or 1).  Null and empty texts are
-    scored as texts without words.  The language decides ``flagged`` only,
+    scored as texts without words.  The model is fitted on a sample, the
+    thresholds are chosen on all labelled rows.  The language decides ``flagged`` only,
     never the score.
     """
-    rows, y, langs, share = sample(docs, labels, most_rows)
+    rows, y, share = sample(docs, labels, most_rows)
     model = Model(rows, y)
     if 0 < share < 1 and 0 < y.mean() < 1:  # both classes were gathered up to the same bound: back to their share among all labels
         model.base += float(np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean())))
-    limit = thresholds(model, rows, y, langs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of tables of a fixed size
 
     def run(batches):
@@ -176,6 +189,7 @@ def score(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Dat
 
     lang = docs["lang"] if "lang" in docs.columns else F.lit("")
     d = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), F.coalesce(lang, F.lit("")).alias("lang"))
-    out = d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, score double, lang string")
+    out = cut(d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, score double, lang string"))  # scored once, for the thresholds and the result
+    limit = thresholds(out, labels)
     at = F.coalesce(F.create_map(*[F.lit(x) for kv in limit.items() for x in kv])[F.col("lang")], F.lit(0.5)) if limit else F.lit(0.5)
     return out.select("doc_id", "score", (F.col("score") >= at).cast("int").alias("flagged"))

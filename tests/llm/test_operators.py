@@ -251,6 +251,26 @@ def test_scores_learn(spark, score):
     assert right >= 95
 
 
+def test_thresholds_are_of_all_labels(spark):
+    rng = random.Random(15)
+    good, bad = ["alpha", "beta", "gamma", "delta"], ["rotten", "####", "vile"]
+    rows, label = [], {}
+    for i in range(1600):  # a hot language with few positives, and one with 15 of them
+        label[i], lang = int(i % 12 == 0), "rare" if i % 108 < 3 else "hot"
+        odds = 0.2 if label[i] else 0.05
+        rows.append((i, " ".join(rng.choices(good, k=20) + [w for _ in range(10) for w in rng.choices(bad, k=1) if rng.random() < odds]), lang))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = toxicity.score(d, spark.createDataFrame(list(label.items()), "doc_id long, label int"), most_rows=60).collect()
+    lang = {i: g for i, _, g in rows}
+    limit = {}
+    for g in ("hot", "rare"):
+        own = [(r["score"], label[r["doc_id"]]) for r in got if lang[r["doc_id"]] == g]
+        assert sum(y for _, y in own) >= 10
+        f1 = {t: 2 * sum(y for s, y in own if s >= t) / max(1, sum(y for _, y in own) + sum(s >= t for s, _ in own)) for t in np.linspace(0.05, 0.95, 19)}
+        limit[g] = min((t for t in f1 if f1[t] >= max(f1.values()) - 1e-9), key=lambda t: abs(t - 0.5))
+    assert all(r["flagged"] == int(r["score"] >= limit[lang[r["doc_id"]]]) for r in got)
+
+
 def test_pipeline_small(spark):
     import corpus_pipeline
 
