@@ -119,12 +119,12 @@ class TrailFrame:
             return self._joined_scan()
         return self.df.where(self.predicate(scan_filter))
 
-    def _joined_scan(self) -> DataFrame:
-        """Many trail filters: a key-to-filter table joined in (its size is that of a list in this process)."""
+    def _joined(self) -> tuple[DataFrame, Column]:
+        """Many trail filters: all events with a key-to-filter table joined in (its size is that of a list in this process), and the condition in effect."""
         s, base = self.schema, F.lit(True) if self.event_filter is None else self.event_filter.column(self.schema)
         kinds: list[EventFilter] = []
         rows = []
-        for k, f in self.trail_filters:
+        for k, f in dict(self.trail_filters).items():
             n = next((i for i, g in enumerate(kinds) if g == f), len(kinds))
             if n == len(kinds):
                 kinds.append(f)
@@ -135,7 +135,11 @@ class TrailFrame:
         c = F.when(F.col("filter_no").isNull(), base)
         for n, f in enumerate(kinds):
             c = c.when(F.col("filter_no") == n, f.column(s))
-        return d.where(c).select(*s.columns)
+        return d, c
+
+    def _joined_scan(self) -> DataFrame:
+        d, hit = self._joined()
+        return d.where(hit).select(*self.schema.columns)
 
     def ordered(self, scan_filter: EventFilter | None = None) -> DataFrame:
         """Events trail by trail, each by time; a trail is in one partition."""
@@ -204,9 +208,10 @@ class TrailFrame:
     def lengths(self, scan_filter: EventFilter | None = None, with_empty: bool = True) -> DataFrame:
         """Events in effect for each trail; trails without any count 0 or are left out."""
         k = self.schema.key
-        hit = self.predicate(scan_filter)
-        if with_empty and len(self.trail_filters) <= INLINE_KEYS:
-            return self.df.groupBy(k).agg(F.count(F.when(hit, 1)).alias("n"))
+        if with_empty:
+            many = scan_filter is None and len(self.trail_filters) > INLINE_KEYS
+            d, hit = self._joined() if many else (self.df, self.predicate(scan_filter))
+            return d.groupBy(k).agg(F.count(F.when(hit, 1)).alias("n"))
         return self.scan(scan_filter).groupBy(k).agg(F.count(F.lit(1)).alias("n"))
 
     def trails(self) -> DataFrame:

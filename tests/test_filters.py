@@ -100,6 +100,18 @@ def test_cascade_diff_and_views(spark):
     assert e.with_filter(one).extract().lexicon_sizes().first()["size"] == 2
 
 
+def test_empty_trails_count_zero_with_many_filters(spark):
+    rows = [(i, t, i % 7 if t else 0) for i in range(1300) for t in range(3)]
+    e = TrailFrame.of(spark.createDataFrame(rows, "k long, t long, v long"), "k", "t", None, ["v"])
+    some, none = (EventFilter().add_term("v", x) for x in ("3", "no"))
+    for n in (1000, 1001, 1200):  # filters in the predicate, and joined
+        f = e.with_trail_filter(range(n - 1), some).with_trail_filter([n - 1], none)
+        want = {i: sum(str(v) == "3" for k, _, v in rows[3 * i : 3 * i + 3]) if i < n - 1 else 0 if i == n - 1 else 3 for i in range(1300)}
+        assert {r["trail_key"]: r["n"] for r in f.lengths().collect()} == want
+        assert {r["trail_key"]: r["n"] for r in f.lengths(with_empty=False).collect()} == {k: x for k, x in want.items() if x}
+        assert {r["trail_key"]: r["n"] for r in f.lengths(none).collect()} == dict.fromkeys(range(1300), 0)
+
+
 def test_append_merge_and_cursors(spark):
     of = lambda rows, *f: TrailFrame.of(spark.createDataFrame(rows, "k string, t long, s long, " + ", ".join(f"{x} string" for x in f)), "k", "t", "s", f)
     a, b = of([("x", 5, 0, "a", "1"), ("x", 20, 1, "c", "2")], "f1", "f2"), of([("x", 10, 0, "b", "2")], "f1", "f2")
