@@ -70,7 +70,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return s.select("source", "source_size", "total", F.coalesce(F.least(share, F.col("ceiling").cast("double")), F.col("ceiling").cast("double")).alias("target"))
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK, seed: str = SEED, shard_words: int = SHARD_WORDS, shards: int = SHARDS) -> DataFrame:
+def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK, seed: str = SEED, shard_words: int = SHARD_WORDS, shards: int = SHARDS, carry: bool = False) -> DataFrame:
     """How often and in which parts each document is taken.
 
     One row for each input row: ``doc_id``, ``source``, ``size``,
@@ -79,16 +79,18 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK,
     ``add`` (the permutation) and ``taken``.  A null text has no words and is
     never taken; a null source is a source of its own, last in order.  Rows
     with the same id are laid out side by side in any order, with the same
-    words taken in total.
+    words taken in total.  With ``carry`` each row has its own row of ``docs`` as
+    ``own_row``, and such rows are in its order.
     """
-    d = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), F.size(words(docs["text"])).cast("long").alias("size"))
+    own = [F.struct(*[docs[c] for c in docs.columns]).alias("own_row")] if carry else []
+    d = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), F.size(words(docs["text"])).cast("long").alias("size"), *own)
     s = targets(d, weights, most)
     seats = F.round(F.col("total") / block).cast("long")
     s = sainte_lague(s.withColumn("seats", seats), "target", "seats", ["source"]).withColumnRenamed("quota", "source_quota").drop("seats", "total")
     s = s.withColumn("n_shards", F.least(F.lit(shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("long"))
     d = d.join(s.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).drop("own")
     d = d.withColumn("place", seeded(seed, F.col("doc_id"))).withColumn("shard", F.pmod(F.col("place"), F.col("n_shards")))
-    line = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "size")
+    line = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "size", *(["own_row"] if carry else []))
     d = d.withColumn("last", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("first", F.col("last") - F.col("size"))
     parts = d.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("seats"))
     parts = sainte_lague(parts, "words", "seats", ["shard"], ["source"])
@@ -130,16 +132,13 @@ def mixed(docs: DataFrame, block: int = 64, **options) -> DataFrame:
     one space apart.
     """
     cols = docs.columns
-    p = plan(docs, block=block, **options).where("taken > 0").select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "first", "last", "blocks", "picked", "copies", "mul", "add")
-    p = p.dropDuplicates(["mix_id", "mix_source", "mix_size"])
-    d = docs.withColumn("mix_own_size", F.size(words(docs["text"])).cast("long"))
-    d = d.join(p, F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_own_size") == F.col("mix_size")))
+    d = plan(docs, block=block, carry=True, **options).where("taken > 0").select("own_row", F.col("size").alias("mix_size"), "first", "last", "blocks", "picked", "copies", "mul", "add")
     cut = F.transform(picked_blocks_of("mix_size", block), lambda j: F.array_join(F.slice(F.col("mix_words"), (F.greatest(F.col("first"), j * block) - F.col("first") + 1).cast("int"), (F.least(F.col("last"), (j + 1) * block) - F.greatest(F.col("first"), j * block)).cast("int")), " "))
-    d = d.withColumn("mix_words", words(F.col("text"))).withColumn("mix_part", F.array_join(cut, " "))
-    every = F.concat(F.array_repeat(F.col("text"), F.col("copies").cast("int")), F.when(F.col("mix_part") != "", F.array(F.col("mix_part"))).otherwise(F.array().cast("array<string>")))
+    d = d.withColumn("mix_words", words(F.col("own_row.text"))).withColumn("mix_part", F.array_join(cut, " "))
+    every = F.concat(F.array_repeat(F.col("own_row.text"), F.col("copies").cast("int")), F.when(F.col("mix_part") != "", F.array(F.col("mix_part"))).otherwise(F.array().cast("array<string>")))
     d = d.withColumn("mix_text", F.explode(every))
     made = {"text": F.col("mix_text")} | ({"n_chars": F.length("mix_text").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in cols else {})
-    return d.select(*[made[c].alias(c) if c in made else d[c] for c in cols])
+    return d.select(*[made.get(c, F.col("own_row")[c]).alias(c) for c in cols])
 
 
 def picked_blocks_of(size: str, block: int) -> Column:

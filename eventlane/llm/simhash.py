@@ -178,6 +178,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: those with its smallest id, or a null id and no component."""
-    found = near_duplicates(docs).where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of ``docs`` for each component: the smallest id (null last), then by a hash of the text, then by all columns."""
+    key = F.struct(docs["doc_id"].isNull().alias("no_id"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("text_hash"))
+    first = near_duplicates(docs.select(key.alias("doc_id"), docs["text"].alias("text"))).select(F.col("component_id").alias("first_key")).distinct()
+    rows = docs.select(key.alias("row_key"), F.struct(*[docs[c] for c in docs.columns]).alias("own_row"))
+    kept = rows.join(first, F.col("row_key") == F.col("first_key"), "left_semi")
+    return kept.groupBy("row_key").agg(F.min("own_row").alias("own_row")).select("own_row.*")

@@ -145,6 +145,30 @@ def test_rules_equal_brute_force(spark):
         assert (r["n_words"], r["n_repeat_words"], r["n_dup_lines"], r["n_symbols"]) == (len(w), len(hit), 1, 2)
 
 
+def test_repeated_and_null_ids(spark):
+    rng = random.Random(16)
+    text = [" ".join(rng.choices("abcdefghijklm", k=40 + i % 7)) for i in range(30)]
+    rows = [(1, text[0]), (1, text[0]), (1, text[1]), (None, text[0]), (None, text[2]), (None, text[2]), (2, text[2]), (None, text[3]), (None, text[3]), (3, text[4]), (4, text[4])]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(docs(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, text[0]), (1, text[1]), (2, text[2]), (None, text[3]), (3, text[4])], key=str)
+
+    rows = [(i % 9 if i % 4 else None, " ".join(f"r{i}-{k}" for k in range(40)), f"s{i % 3}") for i in range(240)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = Counter()
+    for r in mixing.plan(d, block=64, carry=True).select("own_row", "taken").collect():
+        taken[r["own_row"]["text"]] += r["taken"]
+    got = Counter()
+    for n in (3, 5):  # the same however the rows come
+        mix = mixing.mixed(d.repartition(n)).collect()
+        made = Counter((r["doc_id"], r["text"], r["source"]) for r in mix)
+        assert not got or made == got
+        got = made
+    of = Counter()
+    for (_, t, _), n in got.items():
+        of[t.split("-")[0]] += n * len(t.split())
+    assert of == Counter({t.split("-")[0]: n for t, n in taken.items() if n})
+
+
 def test_mix_hits_targets(spark):
     d = spark.createDataFrame([(i, "w " * (20 + i % 80), f"s{i % 4 if i % 3 else 0}") for i in range(1500)], "doc_id long, text string, source string")
     p = mixing.plan(d).groupBy("source").agg(F.max("target").alias("t"), F.sum("taken").alias("n"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect()
