@@ -11,7 +11,7 @@ from eventlane.llm.graph import checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: XXH64 fingerprints, components and BPE are beyond SQL; tests compare the stages with brute force.
+#: XXH64 fingerprints, components and BPE are beyond SQL; tests compare fingerprints, links, repeats and BPE with brute force, not the stages as wholes.
 ORACLE_SQL: str | None = None
 
 

@@ -295,18 +295,20 @@ def _shared(docs: DataFrame, path: str):
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id`` and ``ids`` (array<int>) of each row; a null text counts as empty.  Other columns are ignored."""
+    """``doc_id``, ``ids`` (array<int>) and ``decodes`` (whether the ids, decoded, are the text) of each row; a null text counts as empty.  Other columns are ignored."""
     lines = _shared(docs, path)
 
     def run(batches):
         v = loaded(lines.value, pattern)
         for b in _slices(batches):
-            found = v.encode_all([t or "" for t in b.column(1).to_pylist()])
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            found = v.encode_all(texts)
+            same = [v.decode(memoryview(x).cast("H")) == t.encode() for x, t in zip(found, texts, strict=True)]
             ends = np.cumsum([0, *(len(x) // 2 for x in found)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.uint16).astype(np.int32)))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.uint16).astype(np.int32))), pa.array(same, pa.bool_())], ["doc_id", "ids", "decodes"])
 
     d = id_text(docs)
-    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, ids array<int>")
+    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, ids array<int>, decodes boolean")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

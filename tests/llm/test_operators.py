@@ -118,6 +118,13 @@ def test_bpe_equals_tiktoken():
     assert [fresh.encode_all([t])[0] for t in texts] == together
 
 
+def test_encode_says_what_decodes(spark):
+    rows = [(1, "one two"), (2, None), (3, "é 日\n x")]
+    got = {r["doc_id"]: r for r in bpe.encode(docs(spark, rows), PATH, public_tokenizers.PATTERN).collect()}
+    v = bpe.loaded(open(PATH, "rb").read(), public_tokenizers.PATTERN)
+    assert all(r["decodes"] and v.decode(r["ids"]) == (dict(rows)[i] or "").encode() for i, r in got.items()) and len(got) == 3
+
+
 def test_wordpiece_equals_greedy():
     a = wordpiece.loaded(open(PATH, "rb").read())
     vocab = {base64.b64decode(x.split()[0]) for x in open(PATH, "rb")}
