@@ -309,3 +309,37 @@ def test_pipeline_small(spark):
     v = bpe.loaded(open(PATH, "rb").read(), public_tokenizers.PATTERN)
     assert out and all(v.encode(v.decode(r["ids"]).decode()).tolist() == r["ids"] for r in out[:20])
     assert hashlib.sha256(v.decode(out[0]["ids"])).hexdigest()
+
+
+def exact_neighbours(x, i, n=20):
+    s = np.round(x @ x[i], 9)
+    s[i] = -np.inf
+    return np.lexsort((np.arange(len(x)), -s))[: min(n, len(x) - 1)].tolist()
+
+
+@pytest.mark.parametrize(("n", "dim", "long"), [(2, 4, 0), (19, 16, 0), (21, 16, 0), (400, 16, 3), (300, 3, 150)])
+def test_each_query_has_all_it_can(spark, n, dim, long):
+    x = np.random.default_rng(n).normal(size=(n, dim))
+    x[:long] *= 100
+    rows = [(i, v.tolist(), "1", "2", [0]) for i, v in enumerate(x)] * 2  # repeated, with columns of other names
+    got = {}
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, h1 string, v string, ids array<int>")
+    for r in ann.nearest(d, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert sorted(got) == list(range(0, n, 20))
+    hit = []
+    for i, near in got.items():
+        assert [k for k, _ in sorted(near)] == list(range(1, min(20, n - 1) + 1))
+        hit.append(len({v for _, v in near} & set(exact_neighbours(x, i))) / len(near))
+    assert np.mean(hit) >= 0.9
+
+
+def test_levels_find_what_one_pass_finds(spark):
+    x = np.random.default_rng(3).normal(size=(2000, 8)).round(1)  # with ties and equal vectors
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    one, many = (sorted(map(tuple, ann.nearest(d, F.col("vec_id") % 20 == 0, group_bytes=n).collect())) for n in (8 << 20, 64 * 64))
+    assert [r[:2] for r in one] == [r[:2] for r in many] and np.allclose([r[3] for r in one], [r[3] for r in many])
+    of = {}
+    for q, _, v, _ in many:
+        of.setdefault(q, set()).add(v)
+    assert np.mean([len(of[i] & set(exact_neighbours(x, i))) / 20 for i in of]) >= 0.9
