@@ -19,7 +19,9 @@ Texts are dealt once into blocks of bounded size by a hash of the row; every
 pass reads the same exchange.  A pass sends packed arrays, already reduced to one entry for each
 key and block, to the digit's owner, which answers in the order of the entries.
 So a passage that a third of all documents share costs one entry a block.
-Keys are 64-bit (anchor and segment: 128 together).
+What decides is told apart by 128 bits: the anchor and the segment, or the
+anchor and the window, two hashes of different bytes; the 40 bits of the first
+pass only leave out what no other document has.
 """
 
 from __future__ import annotations
@@ -99,14 +101,35 @@ def _digits(key: np.ndarray, digits: int) -> np.ndarray:
     return (((key >> np.uint64(32)) * np.uint64(digits)) >> np.uint64(32)).astype(np.int64)
 
 
+def _filled(a: np.ndarray, digits: int):
+    """The digits that sorted keys have, and where the keys of each begin and end: steps as many as keys at most, however many digits there are."""
+    d = _digits(a, digits)
+    at = np.flatnonzero(_firsts([d]))
+    return d[at], at, np.append(at[1:], len(d)).astype(np.int64)
+
+
 def _pack(chunk: int, digits: int, a, b=None, doc=None, low=8) -> pa.Table:
-    cut = np.searchsorted(_digits(a, digits), np.arange(digits + 1))
-    rows = [d for d in range(digits) if cut[d] < cut[d + 1]]
-    blob = lambda x: [None if x is None else x[cut[d] : cut[d + 1]].tobytes() for d in rows]
-    key = [np.ascontiguousarray(a[cut[d] : cut[d + 1]].view(np.uint8).reshape(-1, 8)[:, :low]).tobytes() for d in rows]
+    rows, begin, end = _filled(a, digits)
+    cuts = list(zip(begin.tolist(), end[: len(begin)].tolist(), strict=True))
+    blob = lambda x: [None if x is None else x[i:j].tobytes() for i, j in cuts]
+    key = [np.ascontiguousarray(a[i:j].view(np.uint8).reshape(-1, 8)[:, :low]).tobytes() for i, j in cuts]
     return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int32()), "digit": pa.array(rows, pa.int32()), "a": pa.array(key, pa.binary()), "b": pa.array(blob(b), pa.binary()), "doc": pa.array(blob(doc), pa.binary())})
 
 
+def _answered(key: np.ndarray, digits: int, answer: pa.Table):
+    """For each row of an answer, the range of the sorted keys that it is for."""
+    d, want = _digits(key, digits), answer.column("digit").to_numpy()
+    return zip(np.searchsorted(d, want).tolist(), np.searchsorted(d, want, side="right").tolist(), strict=True)
+
+
+def _bits(key: np.ndarray, digits: int, answer: pa.Table) -> np.ndarray:
+    """One bit of an answer for each of the sorted keys."""
+    many = np.zeros(len(key), bool)
+    for (x, y), bits in zip(_answered(key, digits, answer), answer.column("flag").to_pylist(), strict=True):
+        many[x:y] = np.unpackbits(np.frombuffer(bits, np.uint8))[: y - x]
+    return many
+
+
 def _firsts(sorted_keys: list[np.ndarray]) -> np.ndarray:
     if not len(sorted_keys[0]):
         return np.zeros(0, bool)
@@ -157,12 +180,7 @@ class Pass:
     def _shared(self, s, ids, answer: pa.Table):
         """Segments whose anchor is in two documents at least."""
         key, group, _ = self._anchors(s, ids)
-        many = np.zeros(len(key), bool)
-        cut = np.searchsorted(_digits(key, self.digits), np.arange(self.digits + 1))
-        for d, bits in zip(answer.column("digit").to_pylist(), answer.column("flag").to_pylist(), strict=True):
-            n = cut[d + 1] - cut[d]
-            many[cut[d] : cut[d + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8))[:n]
-        return many[group]
+        return _bits(key, self.digits, answer)[group]
 
     def second(self, key, t, answer):
         s, ids = self.segments(t, "segments")
@@ -181,11 +199,10 @@ class Pass:
 
     def _answers(self, key, answer):
         low, flag = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        cut = np.searchsorted(_digits(key, self.digits), np.arange(self.digits + 1))
-        for d, x, f in zip(*(answer.column(c).to_pylist() for c in ("digit", "doc", "flag")), strict=True):
-            low[cut[d] : cut[d + 1]] = np.frombuffer(x, np.int64)
+        for (x, y), doc, f in zip(_answered(key, self.digits, answer), answer.column("doc").to_pylist(), answer.column("flag").to_pylist(), strict=True):
+            low[x:y] = np.frombuffer(doc, np.int64)
             if f is not None:
-                flag[cut[d] : cut[d + 1]] = np.frombuffer(f, np.uint8)
+                flag[x:y] = np.frombuffer(f, np.uint8)
         return low, flag
 
     @staticmethod
@@ -200,8 +217,8 @@ class Pass:
         s, ids = self.segments(t, "windows")
         _, unsettled = self._settled(s, ids, *_apart(answers))
         at, seg, _ = self._spread(s, unsettled)
-        (a,), low, _, _ = _unique([s.windows[at]], ids[s.doc[seg]])
-        return _pack(key[0].as_py(), self.digits, a, doc=low)
+        (a, b), low, _, _ = _unique([s.anchor[seg], s.windows[at]], ids[s.doc[seg]])
+        return _pack(key[0].as_py(), self.digits, a, b, low)
 
     def spans(self, t: pa.Table, answers: pa.Table):
         """For each row, the maximal removed byte runs."""
@@ -209,7 +226,7 @@ class Pass:
         first, second, third = _apart(answers, 3)
         least, unsettled = self._settled(s, ids, first, second)
         at, seg, inside = self._spread(s, unsettled)
-        (a,), _, group, _ = _unique([s.windows[at]], ids[s.doc[seg]])
+        (a, _), _, group, _ = _unique([s.anchor[seg], s.windows[at]], ids[s.doc[seg]])
         low, _ = self._answers(a, third)
         hit = low[group] < ids[s.doc[seg]] if len(at) else np.zeros(0, bool)
         whole = least < ids[s.doc]
@@ -272,8 +289,9 @@ def own_second(key, t):
 
 def own_third(key, t):
     a, cut = _group(t)
+    b = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("b").to_pylist()])
     doc = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("doc").to_pylist()])
-    _, low, group, _ = _unique([a], doc)
+    _, low, group, _ = _unique([a, b], doc)
     return _reply(t, cut, low[group])
 
 
