@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 from eventlane.functions import item_field, item_value, key_bytes, key_hex, pack_item, parse_key
 from eventlane.operators import PageIndex, append, merge, multi_merge
-from eventlane.operators.merge import merged_order
+from eventlane.operators.merge import merged_order, merged_peek
 from eventlane.operators.trails import TrailFrame
 from eventlane.plans.filters import EventFilter, parse
-from eventlane.sources.text import dump_csv, dump_json
+from eventlane.sources import dump_csv, dump_json, open_frame, read_csv, read_json, write_frame
+from eventlane.sources.store import scratch, stored_meta
+from eventlane.streaming import append_batches
 from eventlane.testdata import MICROS, events, orders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,14 +230,27 @@ def nested_trails(spark, sf_dir):
     return d.select("trail_key", F.size("events").cast("long").alias("n"), F.col("events")[0]["event_type"].alias("first_type"), F.element_at("events", -1)["event_type"].alias("last_type"))
 
 
-@query(f"select * from {_E} where \"time\" < {T0} union all select * from {_E} where \"time\" < {T1}")
+_EARLY = f"(select * from {_E} where \"time\" < {T0})"
+_LATER = f"(select * from {_E} where \"time\" < {T1})"
+_SHIFT = "(seq - (select min(seq) from {b}) + (select max(seq) from {a}) + 1)::bigint"
+_APPENDED = f"(select * from {_EARLY} union all select * replace ({_SHIFT.format(a=_EARLY, b=_LATER)} as seq) from {_LATER})"
+
+
+@query(f"select * from {_APPENDED}")
 def append_union_all(spark, sf_dir):
     e = events(spark, sf_dir)
     early = e.with_filter(EventFilter().add_time_range(0, T0)).extract()
     return append(early, e.with_filter(EventFilter().add_time_range(0, T1))).scan()
 
 
-_U = f"select trail_key, \"time\", seq, event_type, '' o_orderpriority, '' o_orderstatus, props from {_E} %s union all select trail_key, \"time\", seq, '', o_orderpriority, o_orderstatus, '' from {_O} %s"
+_U = f"select trail_key, \"time\", seq, event_type, '' o_orderpriority, '' o_orderstatus, props from {_E} %s union all select trail_key, \"time\", {_SHIFT.format(a='(select * from ' + _E + ' %s)', b=_O)}, '', o_orderpriority, o_orderstatus, '' from {_O}"
+
+
+@query(f"select field, val, \"value\" from ({_lexicon('true').replace(_E, _APPENDED)})")
+def append_lexicon(spark, sf_dir):
+    e = events(spark, sf_dir)
+    early = e.with_filter(EventFilter().add_time_range(0, T0)).extract()
+    return append(early, e.with_filter(EventFilter().add_time_range(0, T1))).lexicon().select("field", "val", "value")
 
 
 @query(_U % ("", ""))
@@ -242,7 +258,7 @@ def merge_schema_union(spark, sf_dir):
     return merge([events(spark, sf_dir), orders(spark, sf_dir)]).scan()
 
 
-@query(_U % ("where event_type is distinct from 'click'", ""))
+@query(_U % ("where event_type is distinct from 'click'", "where event_type is distinct from 'click'"))
 def merge_filtered(spark, sf_dir):
     f = EventFilter().add_term("event_type", "click", True).new_clause().add_term("event_type", "", True)
     return merge([events(spark, sf_dir), orders(spark, sf_dir)], f).scan()
@@ -313,3 +329,341 @@ def conversation_lengths(spark, sf_dir):
     from eventlane.testdata import conversations
 
     return conversations(spark, sf_dir).lengths()
+
+
+# lookups
+
+
+@query(f"select c_custkey \"key\", trail_id from customer left join (select trail_key, (row_number() over (order by trail_key) - 1)::bigint trail_id from {_E} group by trail_key) on trail_key = c_custkey")
+def uuid_lookup(spark, sf_dir):
+    return events(spark, sf_dir).ids_of(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"))
+
+
+@query(f"select (count(distinct trail_key) filter (trail_key < 7))::bigint trail_id from {_E}")
+def uuid_to_trail_id(spark, sf_dir):
+    return spark.createDataFrame([(events(spark, sf_dir).trail_id(7),)], "trail_id long")
+
+
+@query(f"select * from {_E} where trail_key = (select distinct trail_key from {_E} order by trail_key limit 1 offset 5)")
+def trail_id_to_trail(spark, sf_dir):
+    return events(spark, sf_dir).trail_by_id(5)
+
+
+_ITEMS = f"(select field, field_name, \"value\", case when val = 0 then field::bigint else field + 256 * val end item from ({_lexicon('true')}))"
+
+
+@query(f"select field_name, \"value\", item from {_ITEMS}")
+def lexicon_items(spark, sf_dir):
+    return events(spark, sf_dir).items()
+
+
+@query(f"select v.\"value\", coalesce(item, 0) item from (select distinct props \"value\" from {_E} union all select 'nosuch') v left join (select * from {_ITEMS} where field_name = 'props') i on i.\"value\" = v.\"value\"")
+def value_to_item(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return e.items_of("props", e.df.select("props").distinct().union(spark.createDataFrame([("nosuch",)], "v string")))
+
+
+@query(f"select k item, field_name, \"value\" from (select (256 * (c_custkey % 9) + 1 + c_custkey % 3)::bigint k from customer) left join {_ITEMS} on k = item")
+def item_to_value(spark, sf_dir):
+    k = F.col("c_custkey")
+    return events(spark, sf_dir).values_of(spark.read.parquet(f"{sf_dir}/customer.parquet").select((256 * (k % 9) + 1 + k % 3).alias("k")))
+
+
+@query(f"select trail_key, \"time\", seq, a.item event_type, b.item props from {_E} e join {_ITEMS} a on a.field = 1 and a.\"value\" = e.event_type join {_ITEMS} b on b.field = 2 and b.\"value\" = e.props")
+def encoded_events(spark, sf_dir):
+    return events(spark, sf_dir).encoded()
+
+
+@query(f"select field_id, field_name from (values (0, 'time'), (1, 'event_type'), (2, 'props')) t(field_id, field_name)")
+def field_ids(spark, sf_dir):
+    s = events(spark, sf_dir).schema
+    return spark.createDataFrame([(s.field_id(n), s.field_name(s.field_id(n))) for n in ("time", *s.fields)], "field_id int, field_name string")
+
+
+@query(f"select count(*) * 2 n_items, count(*) n_props from {_E}")
+def decoded_items(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return spark.createDataFrame([(e.item_total(), e.item_total(["props"]))], "n_items long, n_props long")
+
+
+@query(f"select trail_key, \"time\", seq, lower(hex(encode(event_type))) || '00' || lower(hex(encode(props))) bytes from {_E}")
+def hex_dump(spark, sf_dir):
+    return events(spark, sf_dir).hex_dump()
+
+
+@query(f"select trail_key, \"time\", seq, event_type, props, (row_number() over (order by trail_key, \"time\", seq))::bigint place from {_E}")
+def trail_order_scan(spark, sf_dir):
+    """Places of a range-partitioned sort, numbered by partition and inside it."""
+    d = events(spark, sf_dir).in_trail_order()
+    place = F.monotonically_increasing_id()
+    numbered = d.select("*", F.spark_partition_id().alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("inside"))
+    from pyspark.sql import Window
+
+    sizes = numbered.groupBy(F.col("part").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = numbered.join(sizes.select("of", before.alias("before")), F.col("part") == F.col("of"))
+    return out.select("trail_key", "time", "seq", "event_type", "props", (F.col("before") + F.col("inside") + 1).cast("long").alias("place"))
+
+
+@query(f"select * from {_E} where trail_key = 7 order by \"time\", seq limit 1")
+def peek_event(spark, sf_dir):
+    return spark.createDataFrame([events(spark, sf_dir).peek(7)], "trail_key long, time long, seq long, event_type string, props string")
+
+
+@query(f"select * from {_E} where trail_key = 7 order by \"time\", seq limit 3")
+def next_events(spark, sf_dir):
+    from itertools import islice
+
+    return spark.createDataFrame(list(islice(events(spark, sf_dir).events(7), 3)), "trail_key long, time long, seq long, event_type string, props string")
+
+
+@query(f"select * from {_M} order by \"time\", cursor_idx, seq limit 5")
+def merged_peek_events(spark, sf_dir):
+    return merged_peek(_cursors(spark, sf_dir), n=5)
+
+
+# options and filters
+
+
+@query(f"select trail_key, count(*) filter (case when trail_key % 10 = 3 then false when trail_key < 1500 and trail_key % 2 = 0 then event_type = 'view' else event_type = 'click' end) n from {_E} group by trail_key")
+def many_trail_filters(spark, sf_dir):
+    """1,500 trail filters, many of trails that are not there, given twice, and some that leave their trail empty."""
+    view = EventFilter().add_term("event_type", "view")
+    e = events(spark, sf_dir).with_filter(EventFilter().add_term("event_type", "click"))
+    e = e.with_trail_filter([k for k in range(0, 1500, 2)] * 2, view).with_trail_filter(range(3, 7503, 10), EventFilter.match_none())
+    return e.lengths()
+
+
+@query(f"select * from {_E} where event_type = 'click' and props <> 'none'")
+def filter_many_clauses(spark, sf_dir):
+    f = EventFilter().add_term("event_type", "click").new_clause().add_term("props", "none", True)
+    for i in range(5000):
+        f.new_clause().add_term("event_type", "click").add_term("props", f"p{i}")
+    return events(spark, sf_dir).scan(f)
+
+
+@query(f"select * from {_E} where event_type = 'error'")
+def filter_set_and_cleared(spark, sf_dir):
+    e = events(spark, sf_dir).with_filter(EventFilter.match_none()).with_filter(None)
+    e = e.with_trail_filter([1, 2], EventFilter.match_none()).with_trail_filter([1, 2], None)
+    return e.set_option("event_filter", EventFilter().add_term("event_type", "error")).scan()
+
+
+@query(f"select * from {_E} where event_type = 'view'")
+def filter_of_one_scan(spark, sf_dir):
+    e = events(spark, sf_dir).with_filter(EventFilter.match_none()).with_trail_filter([1], EventFilter.match_none())
+    return e.scan(EventFilter().add_term("event_type", "view"))
+
+
+@query("select * from (values (1::bigint, 'match', 'event_type', 'click', true, null::bigint, null::bigint), (2, 'time_range', null, null, null, 5, 9)) t(n_terms, kind, field, \"value\", negated, start, \"end\")")
+def filter_terms(spark, sf_dir):
+    f = EventFilter().add_term("event_type", "click", True).new_clause().add_time_range(5, 9).add_term("props")
+    rows = [(f.num_terms(0), f.term_type(0, 0), *f.get_item(0, 0), None, None), (f.num_terms(1), f.term_type(1, 0), None, None, None, *f.get_time_range(1, 0))]
+    return spark.createDataFrame(rows, "n_terms long, kind string, field string, value string, negated boolean, start long, `end` long")
+
+
+@query("select * from (values ('cursor_event_buffer_size', '50'), ('event_filter', 'event_type=click'), ('only_diff_items', 'False')) t(name, \"value\")")
+def frame_options(spark, sf_dir):
+    e = events(spark, sf_dir).set_option("cursor_event_buffer_size", 50).set_option("event_filter", parse("event_type=click"))
+    return spark.createDataFrame([(n, str(e.get_option(n))) for n in ("cursor_event_buffer_size", "event_filter", "only_diff_items")], "name string, value string")
+
+
+# a field of numbers
+
+
+_V = "(select user_id trail_key, epoch_us(ts) \"time\", event_id seq, coalesce(event_type, '') event_type, coalesce(\"value\"::varchar, '') \"value\" from events)"
+
+
+def _with_value(spark, sf_dir):
+    return events(spark, sf_dir, ("event_type", "value"))
+
+
+@query(f"select \"value\", count(*) n from {_V} group by all")
+def number_values(spark, sf_dir):
+    return _with_value(spark, sf_dir).item_counts().where("field = 'value'").select("value", "n")
+
+
+@query(f"select * from {_V} where \"value\" in (select \"value\" from {_V} where seq % 100 = 0) and \"value\" <> ''")
+def number_filter(spark, sf_dir):
+    e = _with_value(spark, sf_dir)
+    f = EventFilter()
+    for r in e.df.where("seq % 100 = 0 and value <> ''").select("value").distinct().collect():
+        f.add_term("value", r["value"])
+    return e.scan(f)
+
+
+@query(f"select trail_key, count(*) n_bytes from {_V} group by all")
+def each_trail(spark, sf_dir):
+    """A function of one trail, as pandas."""
+    import pandas as pd
+
+    return _with_value(spark, sf_dir).for_each_trail(lambda pdf: pd.DataFrame({"trail_key": pdf["trail_key"][:1], "n_bytes": [len(pdf)]}), "trail_key long, n_bytes long")
+
+
+# sources and sinks: written to the shared folder and read back
+
+
+def _hex_keyed(spark, sf_dir) -> TrailFrame:
+    d = events(spark, sf_dir).df
+    return TrailFrame.of(d.withColumn("k", F.md5(F.col("trail_key").cast("string"))), "k", "time", "seq", ("event_type", "props"))
+
+
+_H = f"(select lower(md5(trail_key::varchar)) trail_key, \"time\", event_type, props from {_E})"
+_FIELDS = ("trail_key", "time", "event_type", "props")
+
+
+def _written(lines: DataFrame) -> str:
+    path = f"{scratch(lines.sparkSession)}/lines-{uuid.uuid4()}"
+    lines.write.text(path)
+    return path
+
+
+@query(f"select * from {_H}")
+def csv_roundtrip(spark, sf_dir):
+    path = _written(dump_csv(_hex_keyed(spark, sf_dir), delimiter="\t"))
+    return read_csv(spark, path, "uuid,time,event_type,props", "\t")[0].scan().select(*_FIELDS)
+
+
+@query(f"select trail_key, \"time\", props from {_H}")
+def csv_field_numbers(spark, sf_dir):
+    path = _written(dump_csv(_hex_keyed(spark, sf_dir), delimiter="\t"))
+    return read_csv(spark, path, "2:time,1:uuid,4:props", "\t")[0].scan().select("trail_key", "time", "props")
+
+
+@query(f"select * from {_H}")
+def csv_header_files(spark, sf_dir):
+    """Several files, each with the header."""
+    f = _hex_keyed(spark, sf_dir)
+    path = f"{scratch(spark)}/headers-{uuid.uuid4()}"
+    for n in range(3):
+        part = f.scan().where(F.pmod("seq", F.lit(3)) == n)
+        lines = dump_csv(f, delimiter="\t", header=True, rows=part)
+        lines.repartition(1).sortWithinPartitions(~F.col("value").startswith("uuid")).write.mode("append").text(path)
+    return read_csv(spark, path, delimiter="\t", header=True)[0].scan().select(*_FIELDS)
+
+
+_BAD = f"(select *, case trail_key % 5 when 0 then 'zz' else lower(md5(trail_key::varchar)) end k, case trail_key % 7 when 0 then '-1' else \"time\"::varchar end t from {_E})"
+
+
+def _bad_lines(spark, sf_dir) -> str:
+    k = F.col("trail_key")
+    key = F.when(k % 5 == 0, "zz").otherwise(F.md5(k.cast("string")))
+    time = F.when(k % 7 == 0, "-1").otherwise(F.col("time").cast("string"))
+    return _written(events(spark, sf_dir).df.select(F.concat_ws("\t", key, time, "event_type").alias("value")))
+
+
+@query(f"select k trail_key, t::bigint \"time\", event_type from {_BAD} where k <> 'zz' and t <> '-1'")
+def csv_bad_input_kept(spark, sf_dir):
+    return read_csv(spark, _bad_lines(spark, sf_dir), "uuid,time,event_type", "\t", skip_bad=True)[0].scan().select("trail_key", "time", "event_type")
+
+
+@query(f"select k || chr(9) || t || chr(9) || event_type line, case when k = 'zz' then 'invalid uuid: zz' else 'no time' end why from {_BAD} where k = 'zz' or t = '-1'")
+def csv_bad_input_rejected(spark, sf_dir):
+    return read_csv(spark, _bad_lines(spark, sf_dir), "uuid,time,event_type", "\t", skip_bad=True)[1]
+
+
+@query(f"select * from {_H}")
+def json_roundtrip(spark, sf_dir):
+    path = _written(dump_json(_hex_keyed(spark, sf_dir)))
+    return read_json(spark, path, "event_type,props")[0].scan().select(*_FIELDS)
+
+
+def _milli(spark, sf_dir) -> TrailFrame:
+    """Times in milliseconds: a store keeps none in microseconds of our days."""
+    e = events(spark, sf_dir)
+    return TrailFrame(e.df.withColumn("time", F.expr("time div 1000")), e.schema)
+
+
+_K = f"(select * replace (\"time\" // 1000 as \"time\") from {_E})"
+
+
+def _stored(spark, sf_dir, fmt="dir") -> str:
+    path = f"{scratch(spark)}/store-{uuid.uuid4()}.lane"
+    write_frame(_milli(spark, sf_dir), path, fmt)
+    return path
+
+
+@query(f"select * from {_K}")
+def store_roundtrip(spark, sf_dir):
+    return open_frame(spark, _stored(spark, sf_dir)).scan()
+
+
+@query(f"select * from {_K}")
+def store_package(spark, sf_dir):
+    """One file, opened without its suffix."""
+    return open_frame(spark, _stored(spark, sf_dir, "package").removesuffix(".lane")).scan()
+
+
+@query(f"select count(distinct trail_key) num_trails, count(*) num_events, 3::bigint num_fields, min(\"time\") min_timestamp, max(\"time\") max_timestamp, 1::bigint \"version\", 'event_type,props' field_names from {_K}")
+def stored_info(spark, sf_dir):
+    r = stored_meta(spark, _stored(spark, sf_dir)).asDict()
+    names = ("num_trails", "num_events", "num_fields", "min_timestamp", "max_timestamp", "version")
+    return spark.createDataFrame([(*[r[n] for n in names], ",".join(r["fields"]))], ", ".join(f"{n} long" for n in names) + ", field_names string")
+
+
+@query(f"select * from {_K} where trail_key between 5 and 7 and event_type = 'click'")
+def stored_key_range(spark, sf_dir):
+    e = open_frame(spark, _stored(spark, sf_dir))
+    return e.scan(EventFilter().add_term("event_type", "click")).where("trail_key between 5 and 7")
+
+
+@query(f"select * from {_K} where event_type in ('click', 'view') and props = {_PROP}")
+def stored_index_scan(spark, sf_dir):
+    """An index written beside its store, opened and used."""
+    path = _stored(spark, sf_dir)
+    e = open_frame(spark, path)
+    PageIndex.build(e).save(path + ".index")
+    return PageIndex.load(e, path + ".index").scan(_indexed(e))
+
+
+@query(f"select page::bigint page from (select distinct page from {_E} join {_PAGE} using (trail_key) where event_type = 'click')")
+def index_lookup(spark, sf_dir):
+    return _small_index(spark, sf_dir).lookup("event_type", "click")
+
+
+@query(f"select field, \"value\", count(distinct page)::bigint n_pages from (select trail_key, 'event_type' field, event_type \"value\" from {_E} union all select trail_key, 'props', props from {_E}) join {_PAGE} using (trail_key) group by all")
+def index_bitmaps(spark, sf_dir):
+    return _small_index(spark, sf_dir).bitmaps().groupBy("field", "value").agg(F.sum(F.bitmap_count("bitmap")).alias("n_pages"))
+
+
+@query(f"select * from {_K}")
+def append_all_copy(spark, sf_dir):
+    """A store copied by appending all of it to an empty one."""
+    e = open_frame(spark, _stored(spark, sf_dir))
+    path = f"{scratch(spark)}/copy-{uuid.uuid4()}"
+    write_frame(append(e.with_filter(EventFilter.match_none()).extract(), e), path)
+    return open_frame(spark, path).scan()
+
+
+@query(f"select * from {_E} where trail_key in (select c_custkey from customer where c_custkey % 3 = 0) and event_type = 'click'")
+def filter_file_and_keys(spark, sf_dir):
+    """A value read from a file, and a list of keys beside it."""
+    f = parse("event_type=@value.txt", read={"value.txt": "click"}.__getitem__)
+    return events(spark, sf_dir).only(_thirds(spark, sf_dir)).scan(f)
+
+
+_CLI = ["-c", "-d", "|", "-f", "uuid,time,event_type"]
+
+
+@query(f"select lower(md5(trail_key::varchar)) || '|' || \"time\" || '|' || event_type \"value\" from {_K} where event_type = 'click'")
+def cli_make_and_dump(spark, sf_dir):
+    from eventlane import cli
+
+    out = f"{scratch(spark)}/cli-{uuid.uuid4()}"
+    f = _hex_keyed(spark, sf_dir)
+    lines = _written(dump_csv(f, ["uuid", "time", "event_type"], "|", rows=f.df.withColumn("time", F.expr("time div 1000"))))
+    cli.run(spark, ["make", *_CLI, "-i", lines, "-o", f"{out}/db"])
+    cli.run(spark, ["index", "-i", f"{out}/db"])
+    cli.run(spark, ["dump", *_CLI, "-i", f"{out}/db", "-F", "event_type=click", "-o", f"{out}/lines"])
+    return spark.read.text(f"{out}/lines")
+
+
+@query(f"select trail_key, count(*) events from {_E} group by trail_key")
+def streamed_append(spark, sf_dir):
+    """Half of the events stored, the others streamed into the store."""
+    e = _milli(spark, sf_dir)
+    at = f"{scratch(spark)}/stream-{uuid.uuid4()}"
+    write_frame(TrailFrame(e.df.where("seq % 2 = 0"), e.schema), f"{at}/db")
+    e.df.where("seq % 2 = 1").write.parquet(f"{at}/in")
+    append_batches(spark.readStream.schema(e.df.schema).parquet(f"{at}/in"), f"{at}/db", f"{at}/offsets", once=True).awaitTermination()
+    return open_frame(spark, f"{at}/db").lengths().withColumnRenamed("n", "events")

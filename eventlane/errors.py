@@ -31,6 +31,8 @@ TimestampTooLarge = _kind("TimestampTooLarge", "TIMESTAMP_TOO_LARGE")
 DiffWithFilter = _kind("DiffWithFilter", "ONLY_DIFF_FILTER")
 OutputExists = _kind("OutputExists", "OUTPUT_EXISTS")
 NotFound = _kind("NotFound", "IO_OPEN")
+VersionMismatch = _kind("VersionMismatch", "INCOMPATIBLE_VERSION")
+InvalidIndex = _kind("InvalidIndex", "INVALID_INDEX")
 BadFilter = _kind("BadFilter", "BAD_FILTER")
 BadInput = _kind("BadInput", "BAD_INPUT")
 HandleClosed = _kind("HandleClosed", "HANDLE_IS_NULL")

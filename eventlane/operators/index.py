@@ -13,12 +13,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlane.errors import LaneError
+from eventlane.errors import InvalidIndex
 from eventlane.operators.trails import TrailFrame
 from eventlane.plans.filters import EventFilter, Term
 
 #: Most pages of an index (a fixed value).
 MAX_PAGES = 65534
+#: Most ranges of keys in a scan's predicate; beyond it the closest ones are joined.
+RANGES = 128
 
 
 class PageIndex:
@@ -65,11 +67,30 @@ class PageIndex:
         both = reduce(lambda a, b: a.union(b), parts).groupBy("page").agg(F.countDistinct("clause").alias("n"))
         return both.where(F.col("n") == len(parts)).select("page")
 
-    def scan(self, f: EventFilter) -> DataFrame:
-        """``frame.scan(f)``, reading the trails of candidate pages only."""
+    def ranges(self, f: EventFilter) -> list[tuple]:
+        """Least and greatest key of each run of candidate pages, ``RANGES`` at most.  An index has at most ``MAX_PAGES`` pages, so these fit here."""
         page = self.candidates(f).withColumnRenamed("page", "hit")
-        keys = self.pages.join(page, F.col("page") == F.col("hit"), "left_semi").select("page_key")
-        return self.frame.only(keys).scan(f)
+        bounds = self.pages.groupBy("page").agg(F.min("page_key").alias("low"), F.max("page_key").alias("high"))
+        rows = sorted((r["low"], r["high"], r["page"]) for r in bounds.join(page, F.col("page") == F.col("hit"), "left_semi").collect())
+        runs: list[list] = []
+        for low, high, n in rows:
+            if runs and (low <= runs[-1][1] or n == runs[-1][2] + 1):
+                runs[-1][1:] = [max(high, runs[-1][1]), n]
+            else:
+                runs.append([low, high, n])
+        while len(runs) > RANGES:  # still a superset: the filter itself decides
+            runs = [[a[0], (b or a)[1], (b or a)[2]] for a, b in zip(runs[::2], [*runs[1::2], *[None] * (len(runs) % 2)], strict=True)]
+        return [(a, b) for a, b, _ in runs]
+
+    def scan(self, f: EventFilter) -> DataFrame:
+        """``frame.scan(f)``; key ranges of candidate pages reach the scan as pushed filters, so files and row groups of other pages are skipped."""
+        k = F.col(self.frame.schema.key)
+        near = [(k >= F.lit(a)) & (k <= F.lit(b)) for a, b in self.ranges(f)]
+        return self.frame.scan(f).where(reduce(lambda a, b: a | b, near, F.lit(False)))
+
+    def lookup(self, field: str, value: str) -> DataFrame:
+        """Pages that have the value."""
+        return self.items.where((F.col("field") == field) & (F.col("value") == value)).select("page")
 
     def save(self, path: str) -> None:
         self.items.repartitionByRange("field", "value").sortWithinPartitions("field", "value", "page").write.parquet(f"{path}/items")
@@ -81,5 +102,5 @@ class PageIndex:
         spark = frame.df.sparkSession
         kept = spark.read.parquet(f"{path}/checksum").first()[0]
         if kept != cls.checksum_of(frame):
-            raise LaneError("the index belongs to other data")
+            raise InvalidIndex("the index belongs to other data")
         return cls(frame, spark.read.parquet(f"{path}/items"), spark.read.parquet(f"{path}/pages"), kept)

@@ -13,11 +13,25 @@ from eventlane.plans.filters import EventFilter
 from eventlane.plans.schema import TrailSchema
 
 
-def _numbered(frames: list[DataFrame]) -> DataFrame:
-    """All rows; ties keep the order of the frames."""
+def _united(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def _numbered(frames: list[DataFrame]) -> DataFrame:
+    """All rows; ties, and first appearances of values, keep the order of the frames.
+
+    Where the ``seq`` of a frame doesn't lie above that of the frames before, it
+    is moved there: one aggregate over that column of each frame.
+    """
+    bounds = _united([d.agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.lit(i).alias("frame")) for i, d in enumerate(frames)]).collect()
+    out, top = [], None
+    for r, d in zip(sorted(bounds, key=lambda r: r["frame"]), frames, strict=True):
+        shift = 0 if top is None or r["low"] is None or r["low"] > top else top + 1 - r["low"]
+        out.append(d.withColumn("seq", F.col("seq") + F.lit(shift).cast("long")) if shift else d)
+        top = top if r["high"] is None else r["high"] + shift
+    return _united(out)
+
+
 def append(base: TrailFrame, other: TrailFrame) -> TrailFrame:
     """``base`` and what the filters of ``other`` let through; field names and their order must be equal, copies stay."""
     if base.schema.fields != other.schema.fields:
@@ -45,10 +59,15 @@ def multi_merge(frames: list[TrailFrame], fields=()) -> DataFrame:
 
     parts = [f.scan().select("trail_key", "time", "seq", F.lit(i).cast("long").alias("cursor_idx"), *[F.col(f"`{x}`") for x in fields]) for i, f in enumerate(frames)]
     w = Window.partitionBy("trail_key").orderBy("time", "cursor_idx", "seq")
-    return _numbered(parts).withColumn("position", F.row_number().over(w).cast("long"))
+    return _united(parts).withColumn("position", F.row_number().over(w).cast("long"))
 
 
 def merged_order(frames: list[TrailFrame], fields=()) -> DataFrame:
     """All events of several frames as one sequence by time, ``cursor_idx``, ``seq`` (a range-partitioned sort)."""
     parts = [f.scan().select("trail_key", "time", "seq", F.lit(i).cast("long").alias("cursor_idx"), *[F.col(f"`{x}`") for x in fields]) for i, f in enumerate(frames)]
-    return _numbered(parts).orderBy("time", "cursor_idx", "seq")
+    return _united(parts).orderBy("time", "cursor_idx", "seq")
+
+
+def merged_peek(frames: list[TrailFrame], fields=(), n: int = 1) -> DataFrame:
+    """The next ``n`` events of the merged sequence (a top-n, not a sort)."""
+    return merged_order(frames, fields).limit(n)

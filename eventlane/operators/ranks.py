@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
+#: Steps by quantiles: each is a branch of the expression that finds a row's step.
+STEPS = 256
 
 
 def ordinal(df: DataFrame, name: str, order: Column, bucket: Column, part: tuple[str, ...] = ()) -> DataFrame:
@@ -35,5 +37,22 @@ def number_bucket(c: Column, low, high) -> Column:
     return F.floor((c.cast("double") - F.lit(float(low))) * F.lit(BUCKETS / (float(high) - float(low))))
 
 
+def quantile_bucket(df: DataFrame, name: str) -> Column:
+    """Steps that hold about as many rows each, however the numbers lie; equal numbers share a step."""
+    bounds = df.agg(F.percentile_approx(name, [k / STEPS for k in range(1, STEPS)], F.lit(10 * STEPS)).alias("b")).first()["b"] or []
+    bounds = sorted(set(bounds))
+    return _step(F.col(name), bounds)
+
+
+def _step(c: Column, bounds: list) -> Column:
+    """How many of the ascending ``bounds`` are at most ``c``: a search in halves, about eight comparisons a row."""
+    if not bounds:
+        return F.lit(0)
+    if len(bounds) == 1:
+        return F.when(c >= F.lit(bounds[0]), 1).otherwise(0)
+    mid = len(bounds) // 2
+    return F.when(c < F.lit(bounds[mid]), _step(c, bounds[:mid])).otherwise(_step(c, bounds[mid + 1 :]) + F.lit(mid + 1))
+
+
 def hex_bucket(c: Column) -> Column:
     return F.conv(F.substring(c, 1, 3), 16, 10).cast("long")

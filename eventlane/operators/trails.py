@@ -9,10 +9,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlane.errors import DiffWithFilter, InvalidOption, InvalidOptionValue, InvalidTrailId, UnknownField
-from eventlane.functions.items import pack_item
-from eventlane.functions.keys import key_order
-from eventlane.operators.ranks import hex_bucket, number_bucket, ordinal
+from eventlane.errors import DiffWithFilter, HandleClosed, InvalidKey, InvalidOption, InvalidOptionValue, InvalidTrailId, NoSuchItem, UnknownField, UnknownKey
+from eventlane.functions.items import item_field, item_value, pack_item
+from eventlane.functions.keys import key_order, parse_key
+from eventlane.operators.ranks import hex_bucket, number_bucket, ordinal, quantile_bucket
 from eventlane.plans.filters import EventFilter
 from eventlane.plans.schema import TIME_LIMIT, TrailSchema
 
@@ -55,8 +55,9 @@ class TrailFrame:
 
     def with_trail_filter(self, keys, f: EventFilter | None) -> TrailFrame:
         """The filter of single trails; ``None`` removes it."""
-        keys = list(keys)
-        left = tuple(x for x in self.trail_filters if x[0] not in set(keys))
+        keys = list(dict.fromkeys(keys))
+        listed = set(keys)
+        left = tuple(x for x in self.trail_filters if x[0] not in listed)
         return replace(self, trail_filters=left if f is None else left + tuple((k, f) for k in keys))
 
     def trail_filter(self, key) -> EventFilter | None:
@@ -85,6 +86,11 @@ class TrailFrame:
             return self.options.get(name, 1000)
         raise InvalidOption(name)
 
+    def close(self) -> None:
+        """Frees what is cached; this frame and its views can't be scanned any more."""
+        self.options["closed"] = True
+        self.df.unpersist()
+
     def cache(self) -> TrailFrame:
         return replace(self, df=self.df.cache())
 
@@ -111,6 +117,8 @@ class TrailFrame:
 
     def scan(self, scan_filter: EventFilter | None = None) -> DataFrame:
         """Events that pass the filters in effect (in no order: see ``ordered``)."""
+        if self.options.get("closed"):
+            raise HandleClosed("the frame was closed")
         if self.only_diff and (scan_filter is not None or self.event_filter is not None or self.trail_filters):
             raise DiffWithFilter("changed items can't be read through a filter")
         if self.only_diff:
@@ -146,6 +154,12 @@ class TrailFrame:
         s = self.schema
         return self.scan(scan_filter).repartition(s.key).sortWithinPartitions(s.key, s.time, s.seq)
 
+    def in_trail_order(self, scan_filter: EventFilter | None = None) -> DataFrame:
+        """All events in one order: by trail id, then by time (a range-partitioned sort)."""
+        s = self.schema
+        k = F.col(s.key)
+        return self.scan(scan_filter).orderBy(key_order(k) if dict(self.df.dtypes)[s.key] == "string" else k, s.time, s.seq)
+
     def trail(self, key, scan_filter: EventFilter | None = None) -> DataFrame:
         """One trail; the key reaches the scan as a pushed filter."""
         s = self.schema
@@ -157,6 +171,28 @@ class TrailFrame:
             raise InvalidTrailId(str(trail_id))
         return self.trail(row["trail_key"])
 
+    def trail_id(self, key) -> int:
+        """The id of a trail: its place among the keys in their order.  Only the keys are read, nothing is sorted."""
+        k, kind = F.col(self.schema.key), dict(self.df.dtypes)[self.schema.key]
+        if kind == "string":
+            want = self.df.sparkSession.range(1).select(parse_key(F.lit(key)).alias("k")).first()["k"] if len(str(key)) == 32 else None
+            if want is None:
+                raise InvalidKey(str(key))
+            less = key_order(k) < key_order(F.lit(want))
+        else:
+            want = key
+            less = k < F.lit(key)
+        r = self.df.agg(F.countDistinct(F.when(less, k)).alias("n"), F.max(k == F.lit(want)).alias("found")).first()
+        if not r["found"]:
+            raise UnknownKey(str(key))
+        return r["n"]
+
+    def ids_of(self, keys: DataFrame) -> DataFrame:
+        """``key`` (the first column of ``keys``) and ``trail_id``, null where there is no such trail."""
+        ids = self.trail_ids().withColumnRenamed("trail_key", "own_key")
+        k = keys.select(F.col(keys.columns[0]).alias("key"))
+        return k.join(ids, F.col("key") == F.col("own_key"), "left").select("key", "trail_id")
+
     def events(self, key):
         """Iterator over the events of one trail."""
         return self.trail(key).toLocalIterator()
@@ -240,8 +276,8 @@ class TrailFrame:
         if not self.schema.fields:
             return names.select("field", "field_name", F.lit(0).cast("long").alias("val"), F.lit("").alias("value"))
         first = self._values().where("value <> ''").groupBy("field", "value").agg(F.min("seq").alias("at"))
-        low, high = first.agg(F.min("at"), F.max("at")).first()
-        numbered = ordinal(first, "no", F.struct("at", "value"), number_bucket(F.col("at"), low, high), ("field",))
+        # most values appear early: bounds by their own quantiles, found in the pass that aggregates them
+        numbered = ordinal(first, "no", F.struct("at", "value"), quantile_bucket(first, "at"), ("field",))
         vals = numbered.select("field", (F.col("no") + 1).alias("val"), "value").unionByName(names.select("field", F.lit(0).cast("long").alias("val"), F.lit("").alias("value")))
         return vals.join(names, "field").select("field", "field_name", "val", "value")
 
@@ -267,6 +303,53 @@ class TrailFrame:
         row = self.lexicon().where((F.col("field") == field_id) & (F.col("val") == val)).first()
         return row["value"] if row else None
 
+    def items(self) -> DataFrame:
+        """``field_name``, ``value`` and packed ``item`` of every value: the lexicon in item form."""
+        return self.lexicon().select("field_name", "value", F.when((F.col("val") == 0), F.col("field").cast("long")).otherwise(pack_item(F.col("field"), F.col("val"))).alias("item"))
+
+    def items_of(self, f: str, values: DataFrame) -> DataFrame:
+        """``value`` (the first column of ``values``) and its ``item`` in field ``f``; 0 where the field has no such value."""
+        self.schema.field_id(f)
+        own = self.items().where(F.col("field_name") == f).select(F.col("value").alias("own_value"), "item")
+        v = values.select(F.col(values.columns[0]).alias("value"))
+        return v.join(own, F.col("value") == F.col("own_value"), "left").select("value", F.coalesce("item", F.lit(0)).alias("item"))
+
+    def item_to_value(self, item: int) -> str:
+        """The value of one packed item."""
+        r = self.df.sparkSession.range(1).select(item_field(F.lit(item).cast("long")).cast("int").alias("f"), item_value(F.lit(item).cast("long")).alias("v")).first()
+        value = self.value(r["f"], r["v"])
+        if value is None:
+            raise NoSuchItem(str(item))
+        return value
+
+    def values_of(self, items: DataFrame) -> DataFrame:
+        """``item`` (the first column of ``items``) with its ``field_name`` and ``value``; null where there is none."""
+        own = self.items().withColumnRenamed("item", "own_item")
+        i = items.select(F.col(items.columns[0]).cast("long").alias("item"))
+        return i.join(own, F.col("item") == F.col("own_item"), "left").select("item", "field_name", "value")
+
+    def encoded(self, scan_filter: EventFilter | None = None) -> DataFrame:
+        """Events with each field as its packed item: one join with the lexicon for each field."""
+        s = self.schema
+        d, own = self.scan(scan_filter), self.items()
+        for n, f in enumerate(s.fields):
+            mine = own.where(F.col("field_name") == f).select(F.col("value").alias(f"value {n}"), F.col("item").alias(f"item {n}"))
+            d = d.join(mine, F.col(f"`{f}`") == F.col(f"`value {n}`"), "left").drop(f"value {n}")
+        return d.select(s.key, s.time, s.seq, *[F.col(f"`item {n}`").alias(f) for n, f in enumerate(s.fields)])
+
+    def item_total(self, fields=None) -> int:
+        """Items that decoding these fields (all, if none are named) gives: one for each event and field."""
+        names = list(self.schema.fields if fields is None else fields)
+        for f in names:
+            self.schema.field_id(f)
+        return self.scan().count() * len(names)
+
+    def hex_dump(self) -> DataFrame:
+        """``trail_key``, ``time`` and ``bytes``: the values of each event as hex, a separator 00 between them."""
+        s = self.schema
+        raw = F.concat_ws("\u0000", *[F.col(f"`{f}`") for f in s.fields])
+        return self.scan().select(s.key, s.time, s.seq, F.lower(F.hex(F.encode(raw, "UTF-8"))).alias("bytes"))
+
     def distinct_per_trail(self, f: str) -> DataFrame:
         return self.scan().groupBy(self.schema.key).agg(F.countDistinct(F.col(f"`{f}`")).alias("n"))
 

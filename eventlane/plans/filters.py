@@ -8,6 +8,7 @@ false.  Values are strings; ``''`` is the empty value, equal only to itself, so
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from eventlane.errors import BadFilter, IncorrectTermType, InvalidRange, NoSuchItem
 from eventlane.plans.schema import TrailSchema
 
+#: Clauses that stay conjuncts of their own, which a scan can push down.
+CONJUNCTS = 64
 MATCH, TIME_RANGE, UNKNOWN = "match", "time_range", "unknown"
 
 
@@ -113,8 +116,18 @@ class EventFilter:
             return F.lit(True)
         if any(not c for c in self.clauses):
             return F.lit(False)
-        either = lambda c: reduce(lambda a, b: a | b, _balanced([t.column(s) for t in c]))
-        return reduce(lambda a, b: a & b, [either(c) for c in self.clauses])
+        own = list({tuple(c): c for c in self.clauses}.values())
+        clauses = [_either(_together(c, s)) for c in own[:CONJUNCTS]]
+        if len(own) > CONJUNCTS:
+            clauses.append(_counted(own[CONJUNCTS:], s))
+        return reduce(lambda a, b: a & b, clauses)
+
+    def __str__(self) -> str:
+        """The clauses as text, for a trace."""
+        if self.every:
+            return "everything"
+        show = lambda t: f"{t.field}{'!' if t.negated else ''}={t.value}" if isinstance(t, Term) else f"[{t.start}, {t.end})"
+        return " & ".join(" ".join(map(show, c)) or "nothing" for c in self.clauses)
 
     def __eq__(self, other: object) -> bool:
         return isinstance(other, EventFilter) and (self.clauses, self.every) == (other.clauses, other.every)
@@ -122,11 +135,54 @@ class EventFilter:
     __hash__ = None
 
 
-def _balanced(columns: list[Column]) -> list[Column]:
+def _together(clause, s: TrailSchema) -> list[Column]:
+    """The terms of a clause as columns, equality terms on one field as one list."""
+    values: dict[str, list[str]] = {}
+    out = []
+    for t in clause:
+        if isinstance(t, Term) and not t.negated and t.field in s.fields:
+            values.setdefault(t.field, []).append(t.value)
+        else:
+            out.append(t.column(s))
+    return [*(F.col(f"`{f}`").isin(v) if len(v) > 1 else Term(f, v[0]).column(s) for f, v in values.items()), *out]
+
+
+def _counted(clauses, s: TrailSchema) -> Column:
+    """Very many clauses as tables instead of expressions: the clauses that hold are looked up by each field's value and counted.
+
+    A plan grows with the fields, not with the clauses; the tables are constants.
+    """
+    equal: dict[str, dict[str, list[int]]] = {}
+    unequal: dict[str, dict[str, list[int]]] = {}
+    ranges: list[dict[str, int]] = []
+    n = 0
+    for c in clauses:
+        known = [t for t in c if isinstance(t, TimeRange) or t.field in s.fields]
+        barred = {(t.field, t.value) for t in known if isinstance(t, Term) and t.negated}
+        if any(isinstance(t, Term) and t.negated and t.field not in s.fields for t in c) or len(barred) > len({f for f, _ in barred}):
+            continue  # always true
+        for t in {t: None for t in known}:
+            if isinstance(t, TimeRange):
+                ranges.append({"c": n, "a": t.start, "b": t.end})
+            else:
+                (unequal if t.negated else equal).setdefault(t.field, {}).setdefault(t.value, []).append(n)
+        n += 1
+    table = lambda d: F.from_json(F.lit(json.dumps(d)), "map<string,array<int>>")
+    at = lambda d, f: F.coalesce(F.try_element_at(table(d), F.col(f"`{f}`")), F.array().cast("array<int>"))
+    parts = [at(d, f) for f, d in equal.items()]
+    parts += [F.array_except(F.from_json(F.lit(json.dumps(sorted({c for x in d.values() for c in x}))), "array<int>"), at(d, f)) for f, d in unequal.items()]
+    if ranges:
+        time = F.col(f"`{s.time}`")
+        held = F.filter(F.from_json(F.lit(json.dumps(ranges)), "array<struct<c:int,a:long,b:long>>"), lambda r: (time >= r["a"]) & (time < r["b"]))
+        parts.append(F.transform(held, lambda r: r["c"]))
+    return F.size(F.array_distinct(F.concat(*parts))) == n if parts else F.lit(n == 0)
+
+
+def _either(columns: list[Column]) -> Column:
     """Terms OR-ed in halves, so that very long clauses stay shallow."""
-    while len(columns) > 2:
+    while len(columns) > 1:
         columns = [columns[i] | columns[i + 1] if i + 1 < len(columns) else columns[i] for i in range(0, len(columns), 2)]
-    return columns
+    return columns[0]
 
 
 def parse(text: str, read: Callable[[str], str] | None = None) -> EventFilter:

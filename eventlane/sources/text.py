@@ -12,6 +12,8 @@ read or holds an object or array where a value is wanted, always raise.
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,22 +66,43 @@ def _checked(d: DataFrame, fields: list[str], skip_bad: bool) -> tuple[TrailFram
     return TrailFrame(d.where("ok").select(*schema.columns), schema), d.where("not ok").select("line", "why")
 
 
+#: The path that stands for standard input and output.
+STANDARD = "-"
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with ``seq``: place in file and partition order."""
-    return spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("seq"))
+    """Lines with ``seq``, ``file`` and ``head`` (the line lies in the first block of its file).
+
+    Standard input passes through this process: it is for pipes, not for bulk.
+    """
+    if path == STANDARD:
+        rows = [(line.removesuffix("\n"), i) for i, line in enumerate(sys.stdin)]
+        return spark.createDataFrame(rows, "line string, seq long").select("line", "seq", F.lit(path).alias("file"), F.lit(True).alias("head"))
+    d = spark.read.text(path)
+    return d.select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("seq"), F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("head"))
+
+
+def _without_header(d: DataFrame) -> tuple[str, DataFrame]:
+    """The header that all files have as their first line, and the other lines; a file with another header is refused."""
+    first = d.where("head").groupBy("file").agg(F.min(F.struct("seq", "line")).alias("x")).select(F.col("x.seq").alias("first_seq"), F.col("x.line").alias("header"))
+    rows = first.collect()  # one a file, as in the list of files that this process holds anyway
+    kinds = sorted({r["header"] for r in rows})
+    if not kinds:
+        raise BadInput("no header")
+    if len(kinds) > 1:
+        raise BadInput(f"files with different headers: {kinds[0]!r} and {kinds[1]!r}")
+    # a condition, not a join: checks of the other lines must not move before it
+    return kinds[0], d.where(~F.col("seq").isin([r["first_seq"] for r in rows]))
 
 
 def read_csv(spark: SparkSession, path: str, fields: str = f"{KEY},{TIME}", delimiter: str = " ", header: bool = False, skip_bad: bool = False) -> tuple[TrailFrame, DataFrame]:
-    """Frame and rejected lines of delimited text; with ``header`` the first line names the columns."""
+    """Frame and rejected lines of delimited text; with ``header`` the first line of each file names the columns."""
     if len(delimiter) != 1:
         raise InvalidOptionValue("the delimiter is one character")
     d = _lines(spark, path)
     if header:
-        first = d.orderBy("seq").first()
-        if first is None:
-            raise BadInput("no header")
-        fields = ",".join(first["line"].split(delimiter))
-        d = d.where(F.col("seq") != first["seq"])
+        line, d = _without_header(d)
+        fields = ",".join(line.split(delimiter))
     spec = field_map(fields)
     pattern = delimiter if delimiter.isalnum() or delimiter == " " else "\\" + delimiter
     parts = F.split("line", pattern, -1)

@@ -10,11 +10,11 @@ from eventlane.operators.trails import TrailFrame
 MICROS = 1_000_000
 
 
-def events(spark: SparkSession, sf_dir: str) -> TrailFrame:
+def events(spark: SparkSession, sf_dir: str, fields=("event_type", "props")) -> TrailFrame:
     """By user; time in microseconds, ``event_id`` breaks ties."""
     d = spark.read.parquet(f"{sf_dir}/events.parquet")
-    d = d.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "event_type", "props")
-    return TrailFrame.of(d, "user_id", "us", "event_id", ("event_type", "props"))
+    d = d.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", *fields)
+    return TrailFrame.of(d, "user_id", "us", "event_id", fields)
 
 
 def orders(spark: SparkSession, sf_dir: str) -> TrailFrame:
