@@ -20,8 +20,8 @@ from eventlane.llm.rules import words
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK = 16
+#: Words of a shard; a source so large that it would have more shards than a shard has words is dealt into as many as the root of its words.
 SHARD_WORDS = 1 << 16
-SHARDS = 1024
 SEED = "mix-1"
 
 
@@ -70,7 +70,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return s.select("source", "source_size", "total", F.coalesce(F.least(share, F.col("ceiling").cast("double")), F.col("ceiling").cast("double")).alias("target"))
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK, seed: str = SEED, shard_words: int = SHARD_WORDS, shards: int = SHARDS, carry: bool = False) -> DataFrame:
+def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK, seed: str = SEED, shard_words: int = SHARD_WORDS, carry: bool = False) -> DataFrame:
     """How often and in which parts each document is taken.
 
     One row for each input row: ``doc_id``, ``source``, ``size``,
@@ -87,7 +87,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK,
     s = targets(d, weights, most)
     seats = F.round(F.col("total") / block).cast("long")
     s = sainte_lague(s.withColumn("seats", seats), "target", "seats", ["source"]).withColumnRenamed("quota", "source_quota").drop("seats", "total")
-    s = s.withColumn("n_shards", F.least(F.lit(shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("long"))
+    s = s.withColumn("n_shards", F.greatest(F.lit(1), F.least(F.ceil(F.sqrt("source_size")), F.ceil(F.col("source_size") / shard_words))).cast("long"))
     d = d.join(s.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).drop("own")
     d = d.withColumn("place", seeded(seed, F.col("doc_id"))).withColumn("shard", F.pmod(F.col("place"), F.col("n_shards")))
     line = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "size", *(["own_row"] if carry else []))

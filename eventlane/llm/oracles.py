@@ -23,7 +23,7 @@ b as (select *, ({" + ".join(f"case when {rule} then {1 << k} else 0 end" for k,
 
 OP8 = f"""with {_LEDGER}
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (fail_bits & {mask(POLICIES["base"])}) <> 0 base_failed, (fail_bits & {mask(POLICIES["base"]) | mask(POLICIES["v1"])}) = 0 kept, fail_bits from b"""
+       (fail_bits & {mask(POLICIES["base"])}) <> 0 base_failed, (fail_bits & {mask(POLICIES["base"]) | mask(POLICIES["v1"])}) = 0 kept, 'v1' "policy", fail_bits from b"""
 
 ABLATION = f"""with {_LEDGER}, rule as (select * from (values {", ".join(f"('{r}', {1 << list(RULES).index(r)}::bigint)" for r in POLICIES["v1"])}) t(rule, bit))
 select rule, count(*) filter (fail_bits & bit <> 0)::bigint n_failed, count(*) filter (fail_bits & {mask(POLICIES["v1"])} = bit)::bigint n_only from b, rule group by rule"""
@@ -56,7 +56,7 @@ s3 as (select *, (total - coalesce(sum(ceiling) over (order by ceiling::double /
               / (sum(w) over (order by ceiling::double / w, rk rows between current row and unbounded following))::double lv from s2),
 s4 as (select *, (select lv from s3 where lv * w <= ceiling order by ceiling::double / w, rk limit 1) f from s3),
 s5 as (select source, source_size, coalesce(least(f * w, ceiling::double), ceiling::double) target, round(total::double / {mixing.BLOCK})::bigint seats,
-              least({mixing.SHARDS}, greatest(1, ceil(source_size::double / {mixing.SHARD_WORDS})))::bigint n_shards from s4),
+              greatest(1, least(ceil(sqrt(source_size::double)), ceil(source_size::double / {mixing.SHARD_WORDS})))::bigint n_shards from s4),
 {_quota("sq", "s5", "target", "source", None)},
 e1 as (select d.*, sq.source_size, sq.target, sq.quota source_quota, sq.n_shards, {_seeded(mixing.SEED, "doc_id")} place from d join sq on d.source is not distinct from sq.source),
 e2 as (select *, place % n_shards shard from e1),

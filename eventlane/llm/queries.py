@@ -27,7 +27,7 @@ def op1_passages_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(table(spark, sf_dir, "documents"), _labels(spark, sf_dir, "toxic", 5, 0))
-    return found.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "flagged")
+    return found.select("doc_id", F.coalesce(crc_bucket(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "flagged")
 
 
 def op3_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,17 +52,17 @@ def op7_mix_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+    found = rules.apply_policy(rules.stored(rules.ledger(table(spark, sf_dir, "documents"))))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "policy", "fail_bits")
 
 
 def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.ablation(rules.ledger(table(spark, sf_dir, "documents")))
+    return rules.ablation(rules.stored(rules.ledger(table(spark, sf_dir, "documents"))))
 
 
 def op9_gam_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = gam.score(table(spark, sf_dir, "documents"), _labels(spark, sf_dir, "quality", 4, 2))
-    return found.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op10_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlane.llm.graph import cut
 from eventlane.llm.text import GAP
 
 WINDOW = 5
@@ -105,14 +106,23 @@ def ledger(docs: DataFrame) -> DataFrame:
 
 
 def apply_policy(ledger_: DataFrame, policy: str = "v1") -> DataFrame:
-    """The ledger with ``base_failed`` and ``kept``: no rule of the policy (nor of ``base``) failed."""
+    """The ledger with ``base_failed``, ``kept`` (no rule of the policy, nor of ``base``, failed) and the ``policy`` that decided."""
     base, bits = mask(POLICIES["base"]), mask(POLICIES[policy])
     failed = lambda m: F.col("fail_bits").bitwiseAND(F.lit(m)) != 0
-    return ledger_.withColumn("base_failed", failed(base)).withColumn("kept", ~failed(base | bits))
+    return ledger_.withColumns({"base_failed": failed(base), "kept": ~failed(base | bits), "policy": F.lit(policy)})
+
+
+def stored(ledger_: DataFrame) -> DataFrame:
+    """The ledger, written once to the shared checkpoint folder: policies and ablations read bits, no text is evaluated again."""
+    return cut(ledger_)
 
 
 def ablation(ledger_: DataFrame, policy: str = "v1") -> DataFrame:
-    """For each rule of a policy: documents that fail it, and those that it alone rejects (one row a rule)."""
+    """For each rule of a policy: documents that fail it, and those that it alone rejects (one row a rule).
+
+    Reads ``fail_bits`` alone: at most one row for each set of bits is left
+    before rules are told apart.
+    """
     m = mask(POLICIES[policy])
     names = list(RULES)
     sets = ledger_.groupBy(F.col("fail_bits").bitwiseAND(F.lit(m)).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
