@@ -14,7 +14,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlane.llm.graph import cut
@@ -23,6 +23,8 @@ from eventlane.llm.text import id_text, texts
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
 #: At most so many labelled rows of each class (those whose ids hash lowest) are gathered for the fit.
 MOST_ROWS = 3_000
+#: And of these at most so many words of each class, in the order of their hashes (the first row whatever its length).
+MOST_WORDS = 2_000_000
 EPOCHS = 6
 _EDGE = b".,;:!?#*$%&|<>()[]\"'"
 
@@ -127,14 +129,19 @@ def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS):
         part = one.where(F.col("label") == k).orderBy("h").limit(most_rows)
         picked = part if picked is None else picked.union(part)
     share = one.agg(F.avg(F.col("label").cast("double"))).first()[0] or 0.0
-    picked = docs.sparkSession.createDataFrame(picked.select("doc_id", "label").collect(), "doc_id long, label int")
+    kind = dict(docs.dtypes)["doc_id"]
+    picked = docs.sparkSession.createDataFrame(picked.select("doc_id", "label", "h").collect(), f"doc_id {dict(labels.dtypes)['doc_id']}, label int, h string")
     d = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([word_ids(t).astype(np.int32).tobytes() for t in texts(b.column(0))], pa.binary()), b.column(1), b.column(2)], ["ids", "label", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array([word_ids(t).astype(np.int32).tobytes() for t in texts(b.column(0))], pa.binary()), b.column(1), b.column(2), b.column(3)], ["ids", "label", "doc_id", "h"])
 
-    rows = d.join(F.broadcast(picked.withColumnRenamed("doc_id", "picked")), F.col("doc_id") == F.col("picked")).select("text", "label", "doc_id").mapInArrow(run, "ids binary, label int, doc_id long").collect()
+    rows = d.join(F.broadcast(picked.withColumnRenamed("doc_id", "picked")), F.col("doc_id") == F.col("picked")).select("text", "label", "doc_id", "h").mapInArrow(run, f"ids binary, label int, doc_id {kind}, h string")
+    # rows are picked already, so a window by label holds a bounded number of them; what goes to the driver is bounded in words too
+    line = Window.partitionBy("label").orderBy("h", "ids").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.octet_length("ids") / 4).over(line), F.lit(0.0)))
+    rows = rows.where((F.col("before") == 0) | (F.col("before") + F.octet_length("ids") / 4 <= MOST_WORDS)).select("doc_id", "ids", "label").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["ids"]))
     return [np.frombuffer(r["ids"], np.int32).astype(np.int64) for r in rows], np.array([r["label"] for r in rows], float), share
 
