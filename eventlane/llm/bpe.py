@@ -20,6 +20,7 @@ from array import array
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -70,6 +71,10 @@ class Vocabulary:
         import regex
 
         self.ranks = ranks
+        if pattern != public_tokenizers.PATTERN:
+            raise ValueError("texts are cut at spaces, which is proved for the pattern of public_tokenizers alone")
+        if max(ranks.values(), default=0) >= 1 << 16:
+            raise ValueError("ids are kept in 16 bits")
         self.find = regex.compile(pattern).findall
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.text_of = {i: str(i) for i in self.bytes_of}

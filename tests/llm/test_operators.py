@@ -343,3 +343,78 @@ def test_levels_find_what_one_pass_finds(spark):
     for q, _, v, _ in many:
         of.setdefault(q, set()).add(v)
     assert np.mean([len(of[i] & set(exact_neighbours(x, i))) / 20 for i in of]) >= 0.9
+
+
+def crc(i, n):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % n
+
+
+@pytest.mark.parametrize(("name", "label", "n", "held", "cut", "least"), [("op2_toxicity_cnn", "toxic", 5, 0, 0.5, 0.93), ("op9_gam_pairs", "quality", 4, 2, 0.7, 0.93)])
+def test_held_out_rows_are_scored_well(spark, name, label, n, held, cut, least):
+    from eventlane.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in queries.QUERIES[name](spark, sf).collect()}
+    assert all(r["held_out"] == (crc(i, n) == held) and r["predicted"] == int(r["score"] >= cut) and 0 <= r["score"] <= 1 for i, r in got.items())
+    truth = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").where(f"{label} is not null").collect()}
+    own = [(got[i]["predicted"], y) for i, y in truth.items() if i in got and got[i]["held_out"]]
+    assert len(own) > 50 and np.mean([p == y for p, y in own]) >= least
+
+
+@pytest.mark.parametrize("score", [gam.score, toxicity.score])
+@pytest.mark.parametrize("labels", [[(1, 1), (2, 1)], [(1, 0), (2, 0)], [(1, 0), (1, 1), (2, 0), (3, 1), (4, None), (None, 1)]])
+def test_labels_of_one_kind_and_conflicting_ones(spark, score, labels):
+    d = docs(spark, [(i, "good words here " * (i + 1) if i % 2 else None) for i in range(6)])
+    rows = score(d, spark.createDataFrame(labels, "doc_id long, label int")).collect()
+    assert len(rows) == 6 and all(0 <= r["score"] <= 1 for r in rows)
+    if len({y for _, y in labels}) == 1:
+        assert all((r["score"] >= 0.5) == bool(labels[0][1]) for r in rows)
+
+
+def test_long_texts_across_pieces(spark):
+    """Texts of several pieces: what they share lies over the joints."""
+    rng = random.Random(21)
+    own = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    shared = own(3000)
+    at = radix.PIECE - 1500
+    rows = [(1, own(700) + shared), (2, own(at) + shared + own(150_000) + shared[:49]), (3, shared[1000:1050])]
+    got = {r["doc_id"]: r for r in radix.repeated_windows(docs(spark, rows)).collect()}
+    assert [tuple(s) for s in got[2]["spans"]] == [(at, at + 3000)] and [tuple(s) for s in got[3]["spans"]] == [(0, 50)] and not got[1]["spans"]
+    words = [f"w{rng.randrange(10**9)}" for _ in range(passages.PIECE + 400)]
+    passage = words[passages.PIECE - 60 : passages.PIECE + 90]
+    rows = [(1, " ".join(passage)), (2, " ".join(words))]
+    spans = {r["doc_id"]: r["spans"] for r in passages.near_duplicate_passages(docs(spark, rows)).collect()}
+    lo, hi = spans[2][0]
+    assert len(spans[2]) == 1 and not spans[1] and passages.PIECE - 75 <= lo <= passages.PIECE - 60 and passages.PIECE + 90 <= hi <= passages.PIECE + 105
+
+
+@pytest.mark.parametrize("block_bytes", [300, 3000, 1 << 20])
+def test_rows_of_a_pass_are_no_more_than_its_keys(spark, block_bytes):
+    rng = random.Random(22)
+    rows = [(i, "".join(rng.choices("abcd", k=400))) for i in range(40)]
+    t = docs(spark, rows).toArrow()
+    chunks = -(-16000 // block_bytes)
+    p = radix.Pass(chunks, 26, 50)
+    key = (__import__("pyarrow").scalar(0),)
+    packed = p.first(key, t)
+    assert packed.num_rows <= min(chunks, len(p.anchors(t)[0])) and sum(len(x) for x in packed.column("a").to_pylist()) == 5 * len(p.anchors(t)[0])
+
+
+def test_near_copies_of_passages_are_found(spark):
+    """Recall over copies with words changed, by similarity of their best windows."""
+    rng = random.Random(23)
+    v = [f"w{i}" for i in range(20000)]
+    rows, pairs = [], []
+    for c in range(60):
+        first = rng.choices(v, k=150)
+        copy = list(first)
+        for at in rng.sample(range(150), 1 + c % 4):
+            copy[at] = f"other{c}"
+        rows += [(2 * c, " ".join(first)), (2 * c + 1, " ".join(copy))]
+        if near_windows(copy, first):
+            pairs.append(2 * c + 1)
+    got = {r["doc_id"]: r["holders"] for r in passages.near_duplicate_passages(docs(spark, rows), block_bytes=20000).collect()}
+    assert len(pairs) > 40 and np.mean([i - 1 in got[i] for i in pairs]) >= 0.95
+    assert all(h == [i - 1] for i, h in got.items() if h)
