@@ -79,16 +79,15 @@ class Golay:
         self.leader = np.zeros(2048, np.int64)
         self.weight = np.zeros(2048, np.int64)
         self.further = np.full((2048, 5), -1, np.int64)
-        n = np.zeros(2048, np.int64)
+        bit = np.int64(1) << np.arange(23, dtype=np.int64)
         for w in range(1, 5):
-            for bits in combinations(range(23), w):
-                e = sum(1 << k for k in bits)
-                s = int(self.syndrome(np.array([e]))[0])
-                if w < 4:
-                    self.leader[s], self.weight[s] = e, w
-                else:
-                    self.further[s, n[s]] = e
-                    n[s] += 1
+            e = bit[np.array(list(combinations(range(23), w)))].sum(axis=1)
+            s = self.syndrome(e)
+            if w < 4:
+                self.leader[s], self.weight[s] = e, w
+            else:  # five patterns of weight 4 have each syndrome that a pattern of weight 3 has
+                order = np.argsort(s, kind="stable")
+                self.further[s[order].reshape(-1, 5)[:, 0]] = e[order].reshape(-1, 5)
 
     @staticmethod
     def _residue(x: int) -> int:
