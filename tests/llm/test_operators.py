@@ -39,6 +39,7 @@ def test_edge_rows(spark):
         labels = spark.createDataFrame([(4, 1), (7, 0), (8, None), (None, 1)] if rows else [], "doc_id long, label int")
         assert gam.score(d, labels).where("score between 0 and 1").count() == n
         assert toxicity.score(d, labels).where("score between 0 and 1").count() == n
+        assert simhash.similar(d).count() == n
         rules.keep(d).count(), simhash.keep_one(d).count(), mixing.mixed(d).count()
 
 
@@ -152,6 +153,49 @@ def test_rules_equal_brute_force(spark):
         assert (r["n_words"], r["n_repeat_words"], r["n_dup_lines"], r["n_symbols"]) == (len(w), len(hit), 1, 2)
 
 
+def jaccard_classes(rows, width=5, similarity=0.8):
+    """Components and links over all pairs, by brute force."""
+    bags = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        bags[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))}
+    edges = [(a, b) for a in bags for b in bags if a < b and len(bags[a] & bags[b]) >= similarity * len(bags[a] | bags[b])]
+    root = {i: i for i in bags}
+    for _ in bags:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    return root, edges
+
+
+def test_similar_texts(spark):
+    rng = random.Random(17)
+    rows = []
+    for g in range(60):
+        words = [f"w{g}_{rng.randrange(9999)}" for _ in range(rng.randint(60, 400))]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(rng.randint(0, 4)):
+            copy = list(words)
+            for _ in range(rng.randint(0, 6)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows), None), (len(rows) + 1, " "), (len(rows) + 2, "One two"), (len(rows) + 3, "one  TWO")]
+    root, edges = jaccard_classes(rows)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs(spark, rows)).collect()}
+    assert all(root[got[i]] == root[i] for i in got)  # nothing is linked that is not alike
+    assert sum(got[a] == got[b] for a, b in edges) >= 0.95 * len(edges)
+    assert got[rows[-1][0]] == rows[-2][0] and got[rows[-3][0]] == rows[-4][0]
+    kept = {r["doc_id"] for r in simhash.keep_one(docs(spark, rows), simhash.similar).collect()}
+    assert kept == set(got.values())
+
+
+def test_similar_keys_of_several_classes(spark):
+    """All nodes in one key: the classes are still those of the verified pairs."""
+    members = spark.createDataFrame([(7, n) for n in range(40)] + [(8, n) for n in range(0, 40, 3)], "key long, node long")
+    found = simhash._meetings(members, lambda asked: asked.where("a % 4 = b % 4"))
+    root = {r["node"]: r["root"] for r in graph.components(found).collect()}
+    assert root == {n: n % 4 for n in range(40)}
+
+
 def test_repeated_and_null_ids(spark):
     rng = random.Random(16)
     text = [" ".join(rng.choices("abcdefghijklm", k=40 + i % 7)) for i in range(30)]
@@ -159,6 +203,9 @@ def test_repeated_and_null_ids(spark):
     kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(docs(spark, rows)).collect()]
     assert sorted(kept, key=str) == sorted([(1, text[0]), (1, text[1]), (2, text[2]), (None, text[3]), (3, text[4])], key=str)
 
+    alike = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(docs(spark, rows), simhash.similar).collect()), key=str)
+    assert alike == sorted(kept, key=str)
+
     rows = [(i % 9 if i % 4 else None, " ".join(f"r{i}-{k}" for k in range(40)), f"s{i % 3}") for i in range(240)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     taken = Counter()
