@@ -1,37 +1,34 @@
-"""Near-duplicate passages by compact windows over min-hashes.
-
-Tokens are five-word shingles.  For each of several hash functions the
-Cartesian tree over a document's token hashes groups all subsequences that have
-the same least token: a node ``c`` with range ``l..r`` stands for every
-subsequence ``i..j`` with ``l <= i <= c <= j <= r`` (a compact window).  A
-passage is compared by its windows of full length, so of each node only the
-compact window of these is needed, the starts from ``max(l, c - size + 1)`` to
-``min(c, r - size + 1)``.  These are the runs of starts with one least token,
-which sliding minima give for all nodes at once, without the rest of the tree.
-
-Texts are dealt into blocks once (see ``radix``).  Signatures (function and
-hash) of one document drop out; what is left of a block, its shared nodes and
-the tokens around them, is written once and is all that later passes read.
-Each signature names its earliest holder.  In each document, windows with the
-same holder and about the same shift are joined as intervals; where windows of
-two functions or more overlap, the passage is a candidate.  The holder's block
-sends the tokens of each passage asked for, once a block that asks, and the
-candidate is verified at each of its shifts: a window of full length is kept if
-its Jaccard similarity with the holder's window is 0.8 or more.  The class of a
-document is its connected component over links to the holders that passed.
-
-A signature is settled when each of its places but the earliest is in a
-verified passage and its documents are one component.  In a second round, each
-place of the others asks again: the earliest of those that share, beside the
-signature, the least token of one of ``OTHERS`` other functions among the
-``SIDE`` tokens before or after it.  So a line in very many documents costs its
-places times these refinements, never their square, and a passage around it
-still meets its like among them.
+"""Near-duplicate passages by compact windows over the least hashes of each window.
+
+Tokens are five-word shingles.  A passage is compared by its windows of full
+length; two windows are alike if they have ``overlap`` of their tokens in common
+(41 of 46, repeats counted: a Jaccard similarity of 0.8).  All tokens have one
+order: those of one document only, then rare ones before frequent ones, then by
+hash.  The least tokens of a window, one more than it may lack, are its
+signatures: of two windows that are alike the least common token is among the
+signatures of both, so no pair is left out.  A window with more tokens of its own
+than it may lack is like no other.  For a token at its place, the starts of the
+windows that have it as a signature are a compact window.
+
+Texts are dealt into blocks once (see ``radix``).  What is left of a block, its
+places of signatures and the tokens around them, is written once and is all that
+later passes read.  Each signature names its earliest place.  In each document,
+places with the same holder and about the same shift are joined as intervals.
+The holder's block sends the tokens of each passage asked for, once a block that
+asks, and the windows of both are compared exactly.  The class of a document is
+its connected component over links to the holders that passed.
+
+A signature is settled when the windows of all its places are in verified
+passages and its documents are one component, or when all its places have been
+asked.  As long as one is not, its next places are asked (up to the 64th, the
+4,096th, and so on), by the places that are not in a verified passage or that are in
+another component than the holder.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from itertools import groupby
 
 import numpy as np
@@ -40,21 +37,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlane.llm.graph import components, cut
-from eventlane.llm.radix import _ANSWER, _ENTRY, BLOCK_BYTES, PIECE, _answered, _bits, _group, _pack, _reply, _unique, own_first
-from eventlane.llm.text import join_hash, raw, sliding_min, splitmix, widen
+from eventlane.llm.radix import _ANSWER, _ENTRY, BLOCK_BYTES, PIECE, _answered, _bits, _group, _pack, _reply, _unique
+from eventlane.llm.text import join_hash, raw, splitmix, widen
 
-WORDS, SHINGLE, FUNCTIONS, SIMILARITY, ENOUGH = 50, 5, 8, 0.8, 2
+WORDS, SHINGLE, SIMILARITY = 50, 5, 0.8
 #: Shifts between windows of a candidate that count as one alignment.
 SLACK = 8
-#: Tokens on either side of a place that a refined signature looks at, and other functions that refine it.
-SIDE, OTHERS = 23, 4
-_LOW = np.uint64((1 << 20) - 1)
+#: By how much the places that are asked for an open signature grow a round.
+GROWTH = 64
 _GAPS = np.zeros(256, bool)
 _GAPS[[9, 10, 11, 12, 13, 32]] = True
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
-#: The earliest holder of a signature in a block: id, component, place, row there, and starts of its windows before the place; of all blocks: with its block.
+#: A holder of a signature in a block: id, component, place, row there, and starts of its windows before the place; of all blocks: with its block.
 _ENTRY_OF = [("id", "<i8"), ("root", "<i8"), ("place", "<i4"), ("row", "<i4"), ("begin", "<i2"), ("end", "<i2")]
 _OWN, _HOLDER = np.dtype(_ENTRY_OF), np.dtype([*_ENTRY_OF, ("chunk", "<i4")])
+#: One of several holders, and which of the signatures that were sent it is for.
+_RANKED = np.dtype([*_ENTRY_OF, ("chunk", "<i4"), ("of", "<i4")])
 _STATE = "chunk int, part string, data binary"
 _FOUND = "chunk int, place long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, holders array<long>"
 
@@ -93,69 +91,51 @@ def tokens(buf: np.ndarray, off: np.ndarray):
     return widen(words, 1, SHINGLE), np.cumsum(n_words) - n_words, np.maximum(0, n_words - SHINGLE + 1), n_words
 
 
-def hashed(tok: np.ndarray, f: int) -> np.ndarray:
-    return join_hash(tok ^ splitmix(np.array([f], np.uint64))[0], np.uint64(f + 1))
-
-
-def nodes(tok, first, n, size, functions):
-    """Document, place, hash, function and first and last window start of the tree nodes that are the least of ``size`` tokens."""
-    parts = [[[] for _ in range(6)] for _ in range(functions)]
-    group, held = [], 0
-
-    def flush():
-        i = np.array([g[0] for g in group])
-        a = np.array([g[1] for g in group])
-        k = np.array([g[2] for g in group])
-        local = np.concatenate([tok[x : x + m] for x, m in zip((first[i] + a).tolist(), k.tolist(), strict=True)])
-        base = np.cumsum(k) - k
-        part = np.repeat(np.arange(len(i)), k)[: len(local) - size + 1]
-        ok = np.flatnonzero(np.arange(len(part)) + size <= (base + k)[part])
-        place = np.arange(len(local), dtype=np.uint64)
-        for f in range(functions):
-            h = hashed(local, f)
-            low = (sliding_min((h & ~_LOW) | place, size) & _LOW).astype(np.int64)[ok]
-            at = np.flatnonzero(_new(low))
-            c = low[at]
-            p = part[ok[at]]
-            back = a[p] - base[p]
-            last = ok[np.append(at[1:], len(low)) - 1]
-            for x, y in zip(parts[f], (i[p], c + back, h[c], np.full(len(c), f), ok[at] + back, last + back), strict=True):
-                x.append(y)
-
-    for i in np.flatnonzero(n >= size).tolist():
-        for a in range(0, int(n[i]) - size + 1, PIECE):
-            m = min(PIECE + size - 1, int(n[i]) - a)
-            if group and held + m > PIECE + size:
-                flush()
-                group, held = [], 0
-            group.append((i, a, m))
-            held += m
-    if group:
-        flush()
-    if not parts[0][0]:
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, np.uint64), z, z, z
-    doc, place, key, f, begin, end = (np.concatenate([y for own in parts for y in own[j]]) for j in range(6))
-    at = np.flatnonzero(_new(doc) | _new(place) | _new(f))  # a node whose windows are in two parts of a long text
-    return doc[at], place[at], key[at], f[at], begin[at], np.maximum.reduceat(end, at)
+def nodes(value, start, size, lack):
+    """Places of signatures, and the first and the last start of the windows that they are signatures of.
+
+    ``value``: the order of the token at each place, 0 where no other document
+    has it; ``start``: whether a window of ``size`` tokens starts there.  A window
+    may lack ``lack`` tokens.
+    """
+    z = np.zeros(0, np.int64)
+    if len(value) < size:
+        return z, z, z
+    own = np.append(0, np.cumsum(value == 0))
+    start = np.flatnonzero(start[: len(value) - size + 1] & (own[size:] - own[:-size] <= lack))
+    top = np.zeros(len(value) + size - 1, np.uint64)  # by start, from the one at ``1 - size``
+    view, step = np.lib.stride_tricks.sliding_window_view(value, size), PIECE >> 4
+    for x in range(0, len(start), step):
+        w = start[x : x + step]
+        top[w + size - 1] = np.partition(view[w], lack, axis=1)[:, lack]
+    live = np.append(0, np.cumsum(top > 0))
+    place = np.flatnonzero((value > 0) & (live[size:] > live[:-size]))
+    view, out = np.lib.stride_tricks.sliding_window_view(top, size), []
+    for x in range(0, len(place), step):
+        c = place[x : x + step]
+        hit = view[c] >= value[c, None]
+        has = hit.any(1)
+        c, hit = c[has], hit[has]
+        out.append((c, c - size + 1 + hit.argmax(1), c - hit[:, ::-1].argmax(1)))
+    return tuple(np.concatenate(y) for y in zip(*out, strict=True)) if out else (z, z, z)
 
 
 class Block:
-    """What later passes need of a block: its rows, in an order of their own, their shared nodes, and the tokens around these."""
+    """What later passes need of a block: its rows, in an order of their own, the places of signatures (nodes), and the tokens of their windows."""
 
     #: Of tokens 32 bits are kept: they are compared inside a pair of passages only.
-    FIELDS = {"ids": "<i8", "null": "?", "n_words": "<i4", "tok": "<u4", "reg_doc": "<i4", "reg_at": "<i4", "reg_size": "<i4", "doc": "<i4", "place": "<i4", "key": "<u8", "f": "<u1", "before": "<i2", "after": "<i2"}
+    FIELDS = {"ids": "<i8", "null": "?", "n_words": "<i4", "tok": "<u4", "reg_doc": "<i4", "reg_at": "<i4", "reg_size": "<i4", "doc": "<i4", "place": "<i4", "key": "<u8", "before": "<i2", "after": "<i2"}
 
     def __init__(self, data: dict[str, np.ndarray]):
         wide = {k: x.astype(np.int64) if k not in ("null", "tok", "key") else x for k, x in data.items()}
-        for k in ("ids", "null", "n_words", "tok", "reg_doc", "reg_at", "doc", "place", "key", "f"):
+        for k in ("ids", "null", "n_words", "tok", "reg_doc", "reg_at", "doc", "place", "key"):
             setattr(self, k, wide[k])
         self.begin, self.end = self.place - wide["before"], self.place - wide["after"]
         self.reg_off = np.append(0, np.cumsum(wide["reg_size"])).astype(np.int64)
         self.at = self.reg_doc << 40 | self.reg_at
 
     def region(self, doc: int, lo: int, hi: int) -> np.ndarray:
-        """Tokens ``lo`` to ``hi`` of a document, as far as they were kept (all between the windows of shared nodes that overlap)."""
+        """Tokens ``lo`` to ``hi`` of a document, as far as they were kept (all between the windows of nodes that overlap)."""
         r = int(np.searchsorted(self.at, doc << 40 | lo, side="right")) - 1
         if r < 0 or self.reg_doc[r] != doc:
             return self.tok[:0]
@@ -173,30 +153,41 @@ class Block:
 
 
 class Join:
-    def __init__(self, digits, size, functions, similarity, enough):
-        self.digits, self.size, self.functions, self.enough = digits, size, functions, enough
+    def __init__(self, digits, size, similarity):
+        self.digits, self.size = digits, size
         self.overlap = math.ceil(2 * size * similarity / (1 + similarity) - 1e-9)
 
-    def _nodes(self, t):
+    def _tokens(self, t):
+        """Ids, tokens and first tokens of the rows; the places of tokens of texts with a window, their rows and names."""
         buf, off = raw(t.column("text"))
         column = t.column("doc_id").combine_chunks() if t.num_rows else pa.array([], pa.int64())
         null, ids = np.asarray(column.is_null()), np.asarray(column.fill_null(0)).astype(np.int64)
         tok, first, n, n_words = tokens(buf, off)
-        return ids, null, tok, first, n, n_words, nodes(tok, first, np.where(null, 0, n), self.size, self.functions)
+        n = np.where(null | (n < self.size), 0, n)
+        doc = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(doc)) + np.repeat(first - (np.cumsum(n) - n), n)
+        return ids, null, tok, first, n, n_words, at, doc, splitmix(tok[at])
 
     def first(self, key, t):
-        ids, *_, (doc, _, name, *_) = self._nodes(t)
-        (k,), _, _, many = _unique([name], ids[doc])
-        return _pack(key[0].as_py(), self.digits, k, doc=many.astype(np.uint8), low=5)
+        """Each token of the block: whether two of its documents have it, and how often, as a power of two."""
+        ids, *_, doc, name = self._tokens(t)
+        (k,), _, group, many = _unique([name], ids[doc])
+        often = np.frexp(np.bincount(group, minlength=len(k)))[1].astype(np.uint8)
+        return _pack(key[0].as_py(), self.digits, k, doc=often | many.astype(np.uint8) << 7, low=5)
 
     def shared(self, key, t, answer):
-        """The block's state: nodes whose signature two documents have, and the tokens that their windows and sides cover."""
-        ids, null, tok, first, n, n_words, own = self._nodes(t)
-        (k,), _, group, _ = _unique([own[2]], ids[own[0]])
-        keep = np.flatnonzero(_bits(k, self.digits, answer)[group])
-        doc, place, name, f, begin, end = (x[keep] for x in own)
-        lo = np.maximum(0, np.minimum(begin, place - SIDE))
-        hi = np.minimum(n[doc], np.maximum(end + self.size, place + SIDE + 1)) if len(doc) else end
+        """The block's state: places of signatures, and the tokens that their windows cover."""
+        ids, null, tok, first, n, n_words, at, doc_of, name = self._tokens(t)
+        k, group = np.unique(name, return_inverse=True)
+        often = np.zeros(len(k), np.uint64)
+        for (x, y), blob in zip(_answered(k, self.digits, answer), answer.column("doc").to_pylist(), strict=True):
+            often[x:y] = np.frombuffer(blob, np.uint8)
+        often = often[group]
+        value = np.where(often > 0, often << np.uint64(56) | name >> np.uint64(8), np.uint64(0))
+        local = np.arange(len(at)) - (np.cumsum(n) - n)[doc_of]
+        c, begin, end = nodes(value, local + self.size <= n[doc_of], self.size, self.size - self.overlap)
+        doc, place, begin, end, name = doc_of[c], local[c], begin - c + local[c], end - c + local[c], name[c]
+        lo, hi = begin, end + self.size
         order = np.lexsort((lo, doc))
         far = int(hi.max(initial=0)) + 1
         d, x, reach = doc[order], lo[order], np.maximum.accumulate(hi[order] + doc[order] * far)
@@ -205,7 +196,7 @@ class Join:
         size = (reach - d * far)[np.append(new[1:], len(d)).astype(np.int64) - 1] - reg_at if len(new) else reg_at
         held = [tok[a : a + m] for a, m in zip((first[reg_doc] + reg_at).tolist(), size.tolist(), strict=True)]
         held = np.concatenate([tok[:0], *held]) >> np.uint64(32)
-        return Block.table(key[0].as_py(), ids, null, n_words, held, reg_doc, reg_at, size, doc, place, name, f, place - begin, place - end)
+        return Block.table(key[0].as_py(), ids, null, n_words, held, reg_doc, reg_at, size, doc, place, name, place - begin, place - end)
 
     @staticmethod
     def _holders(b, k, root) -> np.ndarray:
@@ -218,57 +209,36 @@ class Join:
     def name(self, key, t):
         """Each signature's earliest holder in this block."""
         b, me = Block.read(t), key[0].as_py()
-        order = np.lexsort((b.place, b.ids[b.doc], b.key))
+        order = np.lexsort((b.place, b.doc, b.ids[b.doc], b.key))
         order = order[_new(b.key[order])]
         return _pack(me, self.digits, b.key[order], doc=self._holders(b, order, b.ids))
 
     def open(self, key, t, known):
-        """What is known of each signature here: its first id, the last one with an unverified place, and the range of components."""
+        """What is known of each signature here: its first id, the last one with a place that is not verified, the range of components, and its places."""
         b = Block.read(t)
-        root, free = _state(b, known)
+        root, free = _state(b, known, self.size)
         order = np.lexsort((b.ids[b.doc], b.key))
         k, ids, d = b.key[order], b.ids[b.doc[order]], b.doc[order]
         at = np.flatnonzero(_new(k))
         top = np.where(free[order], ids, np.iinfo(np.int64).min)
-        cols = [ids[at], *(f.reduceat(x, at) if len(at) else ids[at] for f, x in ((np.maximum, top), (np.minimum, root[d]), (np.maximum, root[d])))]
+        cols = [ids[at], *(f.reduceat(x, at) if len(at) else ids[at] for f, x in ((np.maximum, top), (np.minimum, root[d]), (np.maximum, root[d]), (np.add, np.ones(len(k), np.int64))))]
         return _pack(key[0].as_py(), self.digits, k[at], doc=_packed(cols))
 
-    def refined(self, b, k):
-        """Refined signatures of the nodes ``k``: place in ``k`` and signature."""
-        out, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for x in range(0, len(k), 1 << 13):
-            part = k[x : x + (1 << 13)]
-            r = np.searchsorted(b.at, b.doc[part] << 40 | b.place[part], side="right") - 1
-            mid = b.reg_off[r] + b.place[part] - b.reg_at[r]
-            for side, step in enumerate((-np.arange(1, SIDE + 1), np.arange(1, SIDE + 1))):
-                y = mid[:, None] + step
-                inside = (y >= b.reg_off[r, None]) & (y < b.reg_off[r + 1, None])
-                tok = b.tok[np.clip(y, 0, len(b.tok) - 1)].astype(np.uint64)
-                for other in range(self.functions):
-                    ok = np.flatnonzero(inside[:, 0] & (np.isin((other - b.f[part]) % self.functions, np.arange(1, OTHERS + 1))))
-                    if not len(ok):
-                        continue
-                    h = np.where(inside[ok], hashed(tok[ok].ravel(), other).reshape(len(ok), SIDE), np.uint64((1 << 64) - 1)).min(1)
-                    out.append(join_hash(b.key[part[ok]], h + np.uint64(2 * other + side)))
-                    at.append(ok + x)
-        return np.concatenate(at), np.concatenate(out)
-
-    def _again(self, b, known, answer):
-        """Nodes of signatures that are not settled, with their refined signatures; of all nodes whether they are in no verified passage yet."""
-        root, free = _state(b, known)
+    def _open(self, b, known, answer):
+        """Components of documents, whether a node is in no verified passage yet, and the nodes of open signatures, by signature, id and place."""
+        root, free = _state(b, known, self.size)
         name, group = np.unique(b.key, return_inverse=True)
         k = np.flatnonzero(_bits(name, self.digits, answer)[group]) if len(name) else np.zeros(0, np.int64)
-        at, key = self.refined(b, k)
-        return root, free, k[at], key
+        return root, free, k[np.lexsort((b.place[k], b.doc[k], b.ids[b.doc[k]], b.key[k]))]
 
-    def rename(self, key, t, answers):
-        """Each refined signature's earliest holder in this block."""
+    def rename(self, key, t, answers, most):
+        """Each open signature's first ``most`` places in this block."""
         known, opened = _apart(answers)
         b, me = Block.read(t), key[0].as_py()
-        root, _, k, name = self._again(b, known, opened)
-        order = np.lexsort((b.place[k], b.ids[b.doc[k]], name))
-        order = order[_new(name[order])]
-        return _pack(me, self.digits, name[order], doc=self._holders(b, k[order], root))
+        root, _, k = self._open(b, known, opened)
+        at = np.flatnonzero(_new(b.key[k]))
+        k = k[np.arange(len(k)) - np.repeat(at, np.diff(np.append(at, len(k)))) < most]
+        return _pack(me, self.digits, b.key[k], doc=self._holders(b, k, root))
 
     def _holding(self, name, answer):
         """The earliest holder of all, of each of these signatures."""
@@ -278,44 +248,33 @@ class Join:
             got[x:y] = np.frombuffer(blob, _HOLDER)
         return got[group]
 
-    def candidates(self, b, k, holder, ask):
-        """Candidate passages: row, holder's id, block and row, range of tokens in both, shift, range of the windows at this shift.  ``ask``: nodes to ask for."""
+    def candidates(self, b, k, holder):
+        """Candidate passages: row, holder's id, block and row, range of tokens in both, shift."""
         size = self.size
         later = np.flatnonzero(holder["id"] < b.ids[b.doc[k]])
-        k, holder, ask = k[later], holder[later], ask[later]
+        k, holder = k[later], holder[later]
         shift = holder["place"] - b.place[k]
-        order = np.lexsort((b.f[k], b.begin[k], shift, holder["row"], holder["chunk"], b.doc[k]))
-        k, holder, shift, ask = k[order], holder[order], shift[order], ask[order]
+        order = np.lexsort((b.begin[k], shift, holder["row"], holder["chunk"], b.doc[k]))
+        k, holder, shift = k[order], holder[order], shift[order]
         if not len(k):
             return []
-        same = ~(_new(b.doc[k]) | _new(holder["chunk"]) | _new(holder["row"]) | np.append(True, np.diff(shift) > SLACK))
-        # of a node only one copy (refined signatures may name one holder several times)
-        once = np.flatnonzero(~same | _new(k) | _new(shift))
-        k, holder, shift, ask, same = k[once], holder[once], shift[once], ask[once], same[once]
-        first = np.flatnonzero(~same)
-        begin, end, fs = b.begin[k], b.end[k], b.f[k]
-        go = np.logical_or.reduceat(ask, first)
-        if self.enough > 1:
-            go &= np.minimum.reduceat(fs, first) < np.maximum.reduceat(fs, first)
+        first = np.flatnonzero(_new(b.doc[k]) | _new(holder["chunk"]) | _new(holder["row"]) | np.append(True, np.diff(shift) > SLACK))
+        begin, end = b.begin[k], b.end[k] + size
+        their_begin, their_end = holder["place"] - holder["begin"], holder["place"] - holder["end"] + size
         out = []
-        for x, y in zip(first[go].tolist(), np.append(first[1:], len(k))[go].tolist(), strict=True):
-            if y - x < self.enough or len(set(fs[x:y].tolist())) < self.enough:
-                continue
+        for x, y in zip(first.tolist(), np.append(first[1:], len(k)).tolist(), strict=True):
             reach = []
-            for i in np.argsort(begin[x:y], kind="stable") + x:  # join overlapping intervals
-                if reach and begin[i] <= reach[-1][1] + size - 1:
-                    reach[-1][1] = max(reach[-1][1], end[i])
-                    reach[-1][2].append(i)
+            for i in (np.argsort(begin[x:y], kind="stable") + x).tolist():  # join what overlaps in both
+                own = int(begin[i]), int(end[i]), int(their_begin[i]), int(their_end[i])
+                r = reach[-1] if reach else None
+                if r and own[0] < r[1] and own[2] < r[3] and r[2] < own[3]:
+                    r[1], r[2], r[3] = max(r[1], own[1]), min(r[2], own[2]), max(r[3], own[3])
+                    r[4].add(int(shift[i]))
                 else:
-                    reach.append([begin[i], end[i], [i]])
-            for lo, hi, which in reach:
-                if len(set(fs[which].tolist())) >= self.enough and ask[which].any():
-                    which = np.sort(which)  # by shift
-                    o = holder[which]
-                    olo, ohi = int((o["place"] - o["begin"]).min()), int((o["place"] - o["end"]).max()) + size - 1
-                    cuts = np.flatnonzero(_new(shift[which]))
-                    for s, w, z in zip(shift[which][cuts].tolist(), np.minimum.reduceat(begin[which], cuts).tolist(), np.maximum.reduceat(end[which], cuts).tolist(), strict=True):
-                        out.append((int(b.doc[k[x]]), int(o[0]["id"]), int(o[0]["chunk"]), int(o[0]["row"]), int(lo), int(hi) + size - 1, olo, ohi, s, w, z))
+                    reach.append([*own, {int(shift[i])}])
+            o = holder[x]
+            for lo, hi, olo, ohi, shifts in reach:
+                out += [(int(b.doc[k[x]]), int(o["id"]), int(o["chunk"]), int(o["row"]), lo, hi - 1, olo, ohi - 1, s) for s in sorted(shifts)]
         return out
 
     def _asks(self, key, found):
@@ -328,15 +287,29 @@ class Join:
 
     def ask(self, key, t, answers):
         b = Block.read(t)
-        k = np.arange(len(b.doc))
-        return self._asks(key, self.candidates(b, k, self._holding(b.key, answers), np.ones(len(k), bool)))
+        return self._asks(key, self.candidates(b, np.arange(len(b.doc)), self._holding(b.key, answers)))
 
     def ask_again(self, key, t, answers):
         known, opened, named = _apart(answers, 3)
         b = Block.read(t)
-        root, free, k, name = self._again(b, known, opened)
-        holder = self._holding(name, named)
-        return self._asks(key, self.candidates(b, k, holder, free[k] | (holder["root"] != root[b.doc[k]])))
+        root, free, k = self._open(b, known, opened)
+        name = b.key[k]
+        at = np.flatnonzero(_new(name))
+        cuts = np.append(at, len(k)).tolist()
+        node, held = [k[:0]], [np.zeros(0, _RANKED)]
+        for (x, _), blob in zip(_answered(name[at], self.digits, named), named.column("doc").to_pylist(), strict=True):
+            h = np.frombuffer(blob, _RANKED)
+            new = np.flatnonzero(_new(h["of"]))
+            for i, j in zip(new.tolist(), np.append(new[1:], len(h)).tolist(), strict=True):
+                g = x + int(h["of"][i])
+                own, their = k[cuts[g] : cuts[g + 1]], h[i:j]
+                for y in range(0, len(own), 1024):
+                    part = own[y : y + 1024]
+                    want = (free[part][:, None] | (root[b.doc[part]][:, None] != their["root"])) & (their["id"] < b.ids[b.doc[part]][:, None])
+                    p, q = np.nonzero(want)
+                    node.append(part[p])
+                    held.append(their[q])
+        return self._asks(key, self.candidates(b, np.concatenate(node), np.concatenate(held)))
 
     def serve(self, key, t, asks):
         """Answers what is asked of this block, and passes its own candidates on (without an asker)."""
@@ -348,28 +321,35 @@ class Join:
         from_ = pa.array([None if a is None else key[0].as_py() for a in asks.column("asker").to_pylist()], pa.int32())
         return pa.table({"chunk": pa.array(chunk, pa.int32()), "of": from_, "row": asks.column("row"), "lo": asks.column("lo"), "hi": asks.column("hi"), "tokens": pa.array(blob, pa.binary())})
 
-    def windows(self, mine, at, theirs, their_at, shift):
-        """Starts of windows of ``mine`` (from token ``at``) that are near the window ``shift`` further in ``theirs``."""
+    def windows(self, mine, theirs, shifts):
+        """Starts of windows of ``mine`` that are like some window of ``theirs``: exactly, with the likely shifts first."""
         m = self.size
         if len(mine) < m or len(theirs) < m:
             return np.zeros(0, np.int64)
-        order = np.lexsort((np.arange(len(theirs)), theirs))
-        s = theirs[order]
-        lo, hi = np.searchsorted(s, mine), np.searchsorted(s, mine, side="right")
-        x = np.flatnonzero(hi > lo)
-        want = x + at + shift - their_at  # of equal tokens the one nearest to the shifted place
-        big = len(theirs) + 1
-        place = np.repeat(np.arange(len(theirs))[_new(s)], np.diff(np.append(np.flatnonzero(_new(s)), len(s)))) * big + order
-        near = np.clip(np.searchsorted(place, lo[x] * big + np.clip(want, 0, len(theirs))), lo[x], hi[x] - 1)
-        less = np.maximum(near - 1, lo[x])
-        near = np.where(np.abs(order[less] - want) <= np.abs(order[near] - want), less, near)
-        y = order[near] - (at + shift - their_at) if len(x) else x
-        begin, end = np.maximum(0, np.maximum(x, y) - m + 1), np.minimum(x, y)
-        ok = begin <= end
-        count = np.zeros(len(mine) + 1, np.int64)
-        np.add.at(count, begin[ok], 1)
-        np.add.at(count, np.minimum(end[ok], len(mine) - 1) + 1, -1)
-        return np.flatnonzero(np.cumsum(count)[: len(mine) - m + 1] >= self.overlap) + at
+        got = np.zeros(len(mine) - m + 1, bool)
+        for s in shifts:  # tokens that are equal place by place
+            x, y = max(0, -s), min(len(mine), len(theirs) - s)
+            if y - x >= m:
+                got[x : y - m + 1] |= _counts(mine[x:y] == theirs[x + s : y + s], m) >= self.overlap
+        left = np.flatnonzero(~got & (_counts(np.isin(mine, theirs), m) >= self.overlap))
+        if len(left):
+            order = np.argsort(theirs, kind="stable")
+            again = np.zeros(len(theirs), bool)  # places whose token was there less than a window before
+            again[order[1:]] = (theirs[order[1:]] == theirs[order[:-1]]) & (np.diff(order) < m)
+            plain = _counts(again, m) == 0
+        for i in left.tolist():
+            own = mine[i : i + m]
+            s = np.sort(own)
+            common = _counts(s[np.minimum(np.searchsorted(s, theirs), m - 1)] == theirs, m)  # too many only where tokens repeat
+            if (common[plain] >= self.overlap).any():
+                got[i] = True
+                continue
+            mine_of = Counter(own.tolist())
+            for j in np.flatnonzero(~plain & (common >= self.overlap)).tolist():
+                if (mine_of & Counter(theirs[j : j + m].tolist())).total() >= self.overlap:
+                    got[i] = True
+                    break
+        return np.flatnonzero(got)
 
     def last(self, key, t, answers):
         b = Block.read(t)
@@ -377,7 +357,7 @@ class Join:
         for of, row, lo, hi, x in zip(*(answers.column(c).to_pylist() for c in ("of", "row", "lo", "hi", "tokens")), strict=True):
             if row is None:
                 if x is not None:  # its own candidates, not what earlier rounds found
-                    found = np.frombuffer(x, np.int64).reshape(-1, 11).tolist()
+                    found = np.frombuffer(x, np.int64).reshape(-1, 9).tolist()
             else:
                 held[of, row, lo, hi] = np.frombuffer(x, "<u4")
         spans: list[list[tuple[int, int]]] = [[] for _ in b.ids]
@@ -387,14 +367,7 @@ class Join:
             links[r["place"]] |= set(r["holders"])
         for (d, holder, of, row, lo, hi, olo, ohi), group in groupby(found, key=lambda c: tuple(c[:8])):
             theirs, mine = held[of, row, olo, ohi], b.region(d, lo, hi)
-            got = np.zeros(max(0, len(mine) - self.size + 1), bool)
-            left = [(c[8], c[9] - lo, c[10] - lo + 1) for c in group]
-            while left:  # a shift all of whose windows are found already brings nothing
-                shift = left.pop(len(left) // 2)[0]
-                got[self.windows(mine, lo, theirs, olo, shift) - lo] = True
-                total = np.append(0, np.cumsum(got)).tolist()
-                left = [c for c in left if total[c[2]] - total[c[1]] < c[2] - c[1]]
-            w = np.flatnonzero(got) + lo
+            w = self.windows(mine, theirs, [c[8] + lo - olo for c in group]) + lo
             if len(w):
                 links[d].add(holder)
                 e = np.flatnonzero(np.diff(w) > 1)
@@ -425,8 +398,8 @@ def _rows(answers: pa.Table) -> list[dict]:
     return [r for x in answers.column("state").to_pylist() if x is not None for r in x] if "state" in answers.column_names else []
 
 
-def _state(b: Block, known: pa.Table):
-    """Of each document its component, of each node whether no verified passage has it yet."""
+def _state(b: Block, known: pa.Table, size: int):
+    """Of each document its component, of each node whether no verified passage has all its windows yet."""
     root, at, lo, hi = b.ids.copy(), [], [], []
     for r in _rows(known):
         d = r["place"]
@@ -439,9 +412,14 @@ def _state(b: Block, known: pa.Table):
     start, end = np.array(at) << 40 | np.array(lo), np.array(at) << 40 | np.array(hi)
     end = end[np.argsort(start)]
     start = np.sort(start)
-    node = b.doc << 40 | b.place
-    k = np.searchsorted(start, node, side="right") - 1
-    return root, (k < 0) | (node + SHINGLE > end[np.maximum(k, 0)])
+    k = np.searchsorted(start, b.doc << 40 | b.begin, side="right") - 1
+    return root, (k < 0) | ((b.doc << 40 | b.end + size + SHINGLE - 1) > end[np.maximum(k, 0)])
+
+
+def _counts(x: np.ndarray, width: int) -> np.ndarray:
+    """How many are true in each window."""
+    total = np.append(0, np.cumsum(x))
+    return total[width:] - total[:-width]
 
 
 def _new(x: np.ndarray) -> np.ndarray:
@@ -457,7 +435,7 @@ def own_name(key, t):
     a, cuts = _group(t)
     own = np.concatenate([np.frombuffer(x, _OWN) for x in t.column("doc").to_pylist()])
     of = np.repeat(t.column("chunk").to_numpy(), np.diff(cuts))
-    order = np.lexsort((own["place"], own["id"], a))
+    order = np.lexsort((own["place"], own["row"], of, own["id"], a))
     first = _new(a[order])
     group = np.empty(len(a), np.int64)
     group[order] = np.cumsum(first) - 1
@@ -468,19 +446,65 @@ def own_name(key, t):
     return _reply(t, cuts, best[group])
 
 
-def own_open(key, t):
-    """Of each signature whether it is not settled."""
+def own_often(key, t):
+    """Of each token how often it is there, four steps to a power of two; 0 if one document has it."""
+    a, cuts = _group(t, 5)
+    own = np.concatenate([np.frombuffer(x, np.uint8) for x in t.column("doc").to_pylist()])
+    order = np.argsort(a, kind="stable")
+    group = np.cumsum(_new(a[order])) - 1
+    inner = np.bincount(group, own[order] >> 7)
+    total = np.bincount(group, np.ldexp(0.5, (own[order] & 127).astype(np.int64)))
+    often = np.where((np.bincount(group) > 1) | (inner > 0), 1 + np.minimum(250, 4 * np.log2(total)), 0).astype(np.uint8)
+    out = np.empty(len(a), np.uint8)
+    out[order] = often[group]
+    return _reply(t, cuts, out)
+
+
+def own_ranked(key, t, fewest, most):
+    """Of each signature its places in all blocks from the ``fewest``-th up to the ``most``-th, by id and place."""
     a, cuts = _group(t)
-    own = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("doc").to_pylist()]).reshape(-1, 4)
+    own = np.concatenate([np.frombuffer(x, _OWN) for x in t.column("doc").to_pylist()])
+    of = np.repeat(t.column("chunk").to_numpy(), np.diff(cuts))
+    order = np.lexsort((own["place"], own["row"], of, own["id"], a))
+    a_sorted = a[order]
+    at = np.flatnonzero(_new(a_sorted))
+    rank = np.arange(len(a)) - np.repeat(at, np.diff(np.append(at, len(a))))
+    chosen = order[(rank >= fewest) & (rank < most)]
+    best = np.zeros(len(chosen), _RANKED)
+    for name in _OWN.names:
+        best[name] = own[name][chosen]
+    best["chunk"] = of[chosen]
+    cut_at = np.searchsorted(a[chosen], a_sorted[at]), np.searchsorted(a[chosen], a_sorted[at], side="right")
+    blobs = []
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        g = np.searchsorted(a_sorted[at], np.unique(a[x:y]))
+        n = cut_at[1][g] - cut_at[0][g]
+        got = best[np.repeat(cut_at[0][g] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        got["of"] = np.repeat(np.arange(len(g)), n)
+        blobs.append(got.tobytes())
+    return pa.table({"chunk": t.column("chunk"), "digit": t.column("digit"), "doc": pa.array(blobs, pa.binary()), "flag": pa.array([None] * len(blobs), pa.binary())})
+
+
+def own_open(key, t, asked):
+    """Of each signature whether it is not settled; ``asked``: how many of its places have been asked."""
+    a, cuts = _group(t)
+    own = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("doc").to_pylist()]).reshape(-1, 5)
     order = np.argsort(a, kind="stable")
     at = np.flatnonzero(_new(a[order]))
-    low, top, least, most = (f.reduceat(own[order, j], at) for j, f in enumerate((np.minimum, np.maximum, np.minimum, np.maximum)))
+    low, top, least, most, n = (f.reduceat(own[order, j], at) for j, f in enumerate((np.minimum, np.maximum, np.minimum, np.maximum, np.add)))
     out = np.empty(len(a), bool)
-    out[order] = ((top > low) | (least < most))[np.cumsum(_new(a[order])) - 1]
+    out[order] = ((n > asked) & ((top > low) | (least < most)))[np.cumsum(_new(a[order])) - 1]
     return _reply(t, cuts, flag=out, bits=True)
 
 
-def near_duplicate_passages(docs: DataFrame, words: int = WORDS, functions: int = FUNCTIONS, similarity: float = SIMILARITY, enough: int = ENOUGH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _bound(f, *last):
+    """``f`` with its last arguments given: a function of as many as Spark asks for."""
+    if f.__code__.co_argcount - hasattr(f, "__self__") - len(last) == 2:
+        return lambda key, t: f(key, t, *last)
+    return lambda key, t, a: f(key, t, a, *last)
+
+
+def near_duplicate_passages(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id``, ``n_words``, ``spans`` (words, start and end) and ``holders`` (ids with a smaller id that have the passage) of each row.
 
     Null texts have no words.  Rows with a null id, and texts of fewer than
@@ -490,11 +514,11 @@ def near_duplicate_passages(docs: DataFrame, words: int = WORDS, functions: int
     data = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     total = data.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = max(1, math.ceil(total / block_bytes))
-    j = Join(chunks, words - SHINGLE + 1, functions, similarity, enough)
+    j = Join(chunks, words - SHINGLE + 1, similarity)
     dealt = data.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     chunk, digit = (lambda d: d.groupBy("chunk")), (lambda d: d.groupBy("digit"))
     pass_ = lambda d, k: d.withColumn("pass", F.lit(k))
-    a1 = digit(chunk(dealt).applyInArrow(lambda key, t: j.first(key, t), _ENTRY)).applyInArrow(own_first, _ANSWER)
+    a1 = digit(chunk(dealt).applyInArrow(lambda key, t: j.first(key, t), _ENTRY)).applyInArrow(own_often, _ANSWER)
     state = cut(chunk(dealt).cogroup(chunk(a1)).applyInArrow(lambda key, t, a: j.shared(key, t, a), _STATE))
     ask = "chunk int, asker int, row int, lo int, hi int, found binary"
 
@@ -505,12 +529,18 @@ def near_duplicate_passages(docs: DataFrame, words: int = WORDS, functions: int
 
     named = digit(chunk(state).applyInArrow(lambda key, t: j.name(key, t), _ENTRY)).applyInArrow(own_name, _ANSWER)
     found = verified(chunk(state).cogroup(chunk(named)).applyInArrow(lambda key, t, a: j.ask(key, t, a), ask))
-    known = cut(_known(found))
-    opened = digit(chunk(state).cogroup(chunk(known)).applyInArrow(lambda key, t, a: j.open(key, t, a), _ENTRY)).applyInArrow(own_open, _ANSWER)
-    both = cut(known.unionByName(pass_(opened, 1), allowMissingColumns=True))
-    again = digit(chunk(state).cogroup(chunk(both)).applyInArrow(lambda key, t, a: j.rename(key, t, a), _ENTRY)).applyInArrow(own_name, _ANSWER)
-    every = both.unionByName(pass_(again, 2), allowMissingColumns=True)
-    found = verified(cut(chunk(state).cogroup(chunk(every)).applyInArrow(lambda key, t, a: j.ask_again(key, t, a), ask)), known)
+    asked = 1
+    while True:
+        known = cut(_known(found))
+        opened = cut(digit(chunk(state).cogroup(chunk(known)).applyInArrow(lambda key, t, a: j.open(key, t, a), _ENTRY)).applyInArrow(_bound(own_open, asked), _ANSWER))
+        if opened.where(F.hex("flag").rlike("[^0]")).isEmpty():
+            break
+        both = known.unionByName(pass_(opened, 1), allowMissingColumns=True)
+        most = asked * GROWTH
+        again = digit(chunk(state).cogroup(chunk(both)).applyInArrow(_bound(j.rename, most), _ENTRY)).applyInArrow(_bound(own_ranked, asked, most), _ANSWER)
+        every = both.unionByName(pass_(again, 2), allowMissingColumns=True)
+        found = verified(cut(chunk(state).cogroup(chunk(every)).applyInArrow(lambda key, t, a: j.ask_again(key, t, a), ask)), known)
+        asked = most
     return found.drop("chunk", "place")
 
 

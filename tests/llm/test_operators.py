@@ -465,3 +465,38 @@ def test_near_copies_of_passages_are_found(spark):
     got = {r["doc_id"]: r["holders"] for r in passages.near_duplicate_passages(docs(spark, rows), block_bytes=20000).collect()}
     assert len(pairs) > 40 and np.mean([i - 1 in got[i] for i in pairs]) >= 0.95
     assert all(h == [i - 1] for i, h in got.items() if h)
+
+
+@pytest.mark.parametrize("block_bytes", [6000, 1 << 22])
+def test_every_pair_of_like_passages_is_linked(spark, block_bytes):
+    """Near copies at the very threshold, moved halves, repeats, and documents made of what several others have: components and words equal brute force."""
+    rng = random.Random(24)
+    v = [f"w{i}" for i in range(20000)]
+    rows = []
+    for c in range(40):  # 41 of 46 shingles in common, in one place of the text only
+        core = rng.choices(v, k=50)
+        other = list(core)
+        other[rng.randrange(5, 45)] = "changed"
+        rows += [(len(rows), rng.choices(v, k=20) + core + rng.choices(v, k=20)), (len(rows) + 1, rng.choices(v, k=33) + other + rng.choices(v, k=9))]
+    parts = [rng.choices(v, k=54) for _ in range(12)]
+    for _ in range(40):  # early holders have one part each, later ones share others
+        rows.append((len(rows), [w for k in rng.sample(range(12), 2) for w in parts[k] + rng.choices(v, k=3)]))
+    halves = rng.choices(v, k=100)
+    rows += [(len(rows), halves), (len(rows) + 1, halves[26:51] + halves[:26]), (len(rows) + 2, (halves[:12] * 6)[:60]), (len(rows) + 3, (halves[5:12] + halves[:5]) * 5)]
+    grams = {i: [tuple(t[k : k + 5]) for k in range(len(t) - 4)] for i, t in rows}
+    seen = {}
+    for i, g in grams.items():
+        for x in set(g):
+            seen.setdefault(x, set()).add(i)
+    root, dup = {i: i for i in grams}, {i: set() for i in grams}
+    for i in grams:
+        for h in sorted({h for x in grams[i] for h in seen[x] if h < i}):
+            theirs = [Counter(grams[h][k : k + 46]) for k in range(len(grams[h]) - 45)]
+            near = [k for k in range(len(grams[i]) - 45) if any((Counter(grams[i][k : k + 46]) & t).total() >= 41 for t in theirs)]
+            dup[i] |= {k + x for k in near for x in range(50)}
+            if near:
+                a, b = root[i], root[h]
+                root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
+    got = passages.classes(passages.near_duplicate_passages(docs(spark, [(i, " ".join(t)) for i, t in rows]), block_bytes=block_bytes)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == root
+    assert {r["doc_id"]: {j for s in r["spans"] for j in range(s["start"], s["end"])} for r in got} == dup
