@@ -14,13 +14,14 @@ many different fingerprints share has an exact way of its own (``links``).
 
 ``similar`` finds what is alike by Jaccard similarity, where two bits of 64 are
 far too strict: fingerprints of 640 bits in 27 segments of 23 bits, each decoded
-to its codeword.  Two texts meet where two segments decode equally; a bound on
-the differing bits and the exact similarity of the shingle sets follow.
+to its codeword.  Two texts meet where two segments decode equally, and each asks
+the least text that it meets.  All that these links leave apart meets again at
+its rarest shingles, which no pair at the similarity can miss; each pair is
+compared on its shingle sets.
 """
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -230,61 +231,70 @@ def wide_keys(fps: np.ndarray, golay: Golay, part: int = 0, parts: int = 1) -> n
     return (pair << 24)[None] | (index[:, a] << 12) | index[:, b]
 
 
-def _bits_at(similarity: float) -> int:
-    """Differing bits that texts of this Jaccard similarity exceed with a chance of about one in a million (five deviations)."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = 64 * WORDS
-    return math.ceil(n * p + 5 * math.sqrt(n * p * (1 - p)))
+def _rooted(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with the component of each node."""
+    roots = components(found).select(F.col("node").alias("n"), "root")
+    return members.join(roots, F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
 
 
-def _meetings(members: DataFrame, verify):
-    """Verified pairs ``a``, ``b`` among the ``members`` (``key``, ``node``) of each key.
+def _meetings(members: DataFrame, verify, found: DataFrame | None = None) -> DataFrame:
+    """Verified pairs ``a``, ``b`` that connect all that are alike among the ``members`` (``key``, ``node``) of each key.
 
-    The least node of a key is compared with all others.  Then, as long as a key
-    has members that no node before has taken, the least of them are compared
-    with all members: eight in the second round, and each time eight times as
-    many, so that keys of many different texts end after few rounds.  A key
-    costs its members times the classes in it, rounded up to such a number.
+    ``found``: links known before.  Keys whose members are one component drop
+    out.  Of the others the least nodes are compared with all members of other
+    components: one a key in the first round, then eight, 64 and so on, until
+    every pair of two components has been.
     """
-    open_rows, found, tried, most = members, None, None, 1
+    tried, most, had = None, 1, 0
+    if found is None:
+        found = members.sparkSession.createDataFrame([], "a long, b long")
     while True:
-        least = Window.partitionBy("key").orderBy("node")
-        leaders = open_rows.withColumn("place", F.row_number().over(least)).where(F.col("place") <= most)
-        leaders = cut(leaders.select(F.col("key").alias("led"), F.col("node").alias("leader")))
-        asked = members.join(leaders, F.col("key") == F.col("led")).where("node <> leader").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
+        of = cut(_rooted(members, found))
+        sizes = of.groupBy(F.col("key").alias("held")).agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n"))
+        live = sizes.where((F.col("x") != F.col("y")) & (F.col("n") > had + 1)).select("held")
+        of = cut(of.join(live.hint("merge"), F.col("key") == F.col("held"), "left_semi"))
+        if of.isEmpty():
+            return found
+        ranked = of.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("place") <= most)
+        leaders = ranked.select(F.col("key").alias("led"), F.col("node").alias("leader"), F.col("root").alias("leads"))
+        apart = (F.col("key") == F.col("led")) & (F.col("node") > F.col("leader")) & (F.col("root") != F.col("leads"))
+        asked = of.join(leaders, apart).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
         if tried is not None:
             asked = asked.join(tried, ["a", "b"], "left_anti")
         asked = cut(asked)
-        got = cut(verify(asked))
-        found = got if found is None else found.unionByName(got)
+        found = found.unionByName(cut(verify(asked)))
         tried = asked if tried is None else tried.unionByName(asked)
-        both = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("leader")), F.struct(F.col("b").alias("node"), F.col("a").alias("leader"))))
-        led = open_rows.join(leaders, F.col("key") == F.col("led")).select("key", "node", "leader")
-        taken = led.join(found.select(both.alias("p")).select("p.*"), ["node", "leader"], "left_semi").select("key", "node")
-        done = taken.unionByName(leaders.select(F.col("led").alias("key"), F.col("leader").alias("node"))).distinct()
-        open_rows, most = cut(open_rows.join(done, ["key", "node"], "left_anti")), 8 * most
-        if open_rows.isEmpty():
-            return found
+        most, had = most * 8, most
 
 
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id`` and ``component_id`` (smallest id reachable) for each row; texts link whose sets of ``width``-word shingles have this Jaccard similarity or more.
 
-    Texts with equal sets are one node.  Two nodes are compared where two of
-    their 27 segments decode to the same codewords: of random pairs 0.86 do at a
-    similarity of 0.8, 0.95 at 0.85, 0.99 at 0.9, nearly all above.  What is compared
-    is exact.
-    Within a key links go through its leaders (``_meetings``).  Null texts and
+    Texts with equal sets are one node.  Each node first asks the least of those
+    that it meets by two of 27 segments that decode alike.  Then nodes meet at
+    their least shingles (rare ones before frequent ones), as many and one more
+    than a text may lack: two that are alike share one of these, so none is left
+    out, and a node with more shingles of its own than that is like no other.
+    Pairs of nodes that are connected already are not compared.  Null texts and
     texts without a word are one node.  Ids may repeat or be null, as in
     ``near_duplicates``.  The only columns used are ``doc_id`` and ``text``.
     """
     kind = dict(docs.dtypes)["doc_id"]
 
     def wide(batches):
+        import xxhash
+
         for b in batches:
-            fp = np.array([wide_fingerprint(bag(t, width)) for t in texts(b.column(1))], np.uint64).reshape(-1, WORDS).view(np.int64)
+            fp, node, n = [], [], []
+            for t in texts(b.column(1)):
+                own = bag(t, width)
+                fp.append(wide_fingerprint(own))
+                node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                n.append(len(own))
+            fp = np.array(fp, np.uint64).reshape(-1, WORDS).view(np.int64)
             words = [pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WORDS)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *words], ["doc_id", "text_hash", *_WORDS])
+            node = pa.array(np.array(node, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), node, pa.array(n, pa.int32()), *words], ["doc_id", "text_hash", "node", "n", *_WORDS])
 
     def keyed(part: int):
         def run(batches):
@@ -306,6 +316,17 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
                 got = [bag(t, width).tobytes() for t in texts(s.column(1))]
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(got, pa.binary())], ["node", "bag"])
 
+    def listed(part: int):
+        def run(batches):
+            for b in batches:
+                for at in range(0, len(b), 256):
+                    s = b.slice(at, 256)
+                    own = [h[h % np.uint64(PASSES) == part] for h in (np.frombuffer(x.as_py(), np.uint64) for x in s.column(1))]
+                    node = np.repeat(s.column(0).to_numpy(zero_copy_only=False), [len(h) for h in own])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(node)], ["key", "node"])
+
+        return run
+
     def alike(batches):
         for b in batches:
             a, c, left, right = (b.column(k) for k in range(4))
@@ -319,35 +340,41 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
             yield pa.RecordBatch.from_arrays([a.filter(keep), c.filter(keep)], ["a", "b"])
 
     d = id_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    fps = cut(d.mapInArrow(wide, f"doc_id {kind}, text_hash long, {', '.join(f'{w} long' for w in _WORDS)}").withColumn("node", F.xxhash64(*_WORDS)))
+    fps = cut(d.mapInArrow(wide, f"doc_id {kind}, text_hash long, node long, n int, {', '.join(f'{w} long' for w in _WORDS)}"))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash"))
-    nodes = cut(fps.groupBy("node").agg(F.min(row).alias("low"), *[F.first(w).alias(w) for w in _WORDS]))
-    members = None
-    for part in range(PASSES):
-        k = nodes.select("node", *_WORDS).mapInArrow(keyed(part), "key long, node long")
-        shared = k.groupBy(F.col("key").alias("held")).agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("held")
-        met = cut(k.join(shared.hint("merge"), F.col("key") == F.col("held")).select("key", "node"))
-        members = met if members is None else members.unionByName(met)
-    most = _bits_at(similarity)
-
-    def sided(side: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(side), *[F.col(w).alias(f"{side}_{w}") for w in _WORDS])
+    nodes = cut(fps.groupBy("node").agg(F.min(row).alias("low"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in _WORDS]))
+    chosen = nodes.select("node", F.col("low.id").alias("id"), F.col("low.text_hash").alias("hash"))
+    own = d.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash").eqNullSafe(F.col("hash")))).select("node", "text")
+    sets = cut(own.mapInArrow(bags, "node long, bag binary").groupBy("node").agg(F.min("bag").alias("bag")))
 
     def verify(asked: DataFrame) -> DataFrame:
-        differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in _WORDS), F.lit(0))
-        near = cut(asked.join(sided("b"), "b").join(sided("a"), "a").where(differ <= most).select("a", "b"))
-        ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        chosen = nodes.join(ends, "node", "left_semi").select("node", F.col("low.id").alias("id"), F.col("low.text_hash").alias("hash"))
-        own = d.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("node", "text")
-        sets = cut(own.mapInArrow(bags, "node long, bag binary").groupBy("node").agg(F.min("bag").alias("bag")))
-        both = near.join(sets.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
+        side = lambda k: sets.select(F.col("node").alias(k), F.col("bag").alias(f"bag_{k}"))
+        size = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"))
+        near = asked.join(size("a"), "a").join(size("b"), "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
+        both = cut(near.select("a", "b")).join(side("b"), "b").join(side("a"), "a")
         return both.select("a", "b", "bag_a", "bag_b").mapInArrow(alike, "a long, b long")
 
-    roots = components(_meetings(members, verify).mapInArrow(forest, "a long, b long"))
-    of = nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "low.no_id", "low.id", F.coalesce("root", "node").alias("root"))
+    met = rare = None
+    for part in range(PASSES):
+        k = nodes.select("node", *_WORDS).mapInArrow(keyed(part), "key long, node long")
+        least = k.groupBy(F.col("key").alias("held")).agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("held", "m")
+        asks = k.join(least.hint("merge"), (F.col("key") == F.col("held")) & (F.col("node") > F.col("m")))
+        asks = cut(asks.groupBy(F.col("node").alias("a")).agg(F.min("m").alias("b")))
+        met = asks if met is None else met.unionByName(asks)
+    for part in range(PASSES):
+        k = sets.where(F.length("bag") > 0).mapInArrow(listed(part), "key long, node long")
+        often = k.groupBy(F.col("key").alias("held")).agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+        shared = cut(k.join(often.hint("merge"), F.col("key") == F.col("held")).select("node", "often", "key"))
+        rare = shared if rare is None else rare.unionByName(shared)
+    found = cut(verify(cut(met.groupBy("a").agg(F.min("b").alias("b")))))
+    ordered = rare.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("g")).join(nodes.select(F.col("node").alias("m"), "n"), F.col("node") == F.col("m"))
+    spare = F.size("g") - F.ceil(similarity * F.col("n") - 1e-9) + 1  # of the least shingles those that others have
+    members = cut(ordered.where(spare > 0).select("node", F.explode(F.slice("g", F.lit(1), spare.cast("int"))).alias("s")).select("s.key", "node"))
+    roots = components(_meetings(members, verify, found).mapInArrow(forest, "a long, b long"))
+    of = nodes.select("node", "low").join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "low.no_id", "low.id", F.coalesce("root", "node").alias("root"))
     named = of.groupBy("root").agg(F.min(F.struct("no_id", "id")).alias("low")).select(F.col("root").alias("r"), F.col("low.id").alias("component_id"))
-    named = of.join(named, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "component_id")
-    return fps.join(named.hint("merge"), F.col("node") == F.col("n")).select("doc_id", "component_id")
+    named = of.join(named, F.col("root") == F.col("r")).select(F.col("node").alias("named"), "component_id")
+    return fps.join(named.hint("merge"), F.col("node") == F.col("named")).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, find=near_duplicates) -> DataFrame:

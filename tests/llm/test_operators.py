@@ -500,3 +500,21 @@ def test_every_pair_of_like_passages_is_linked(spark, block_bytes):
     got = passages.classes(passages.near_duplicate_passages(docs(spark, [(i, " ".join(t)) for i, t in rows]), block_bytes=block_bytes)).collect()
     assert {r["doc_id"]: r["class_id"] for r in got} == root
     assert {r["doc_id"]: {j for s in r["spans"] for j in range(s["start"], s["end"])} for r in got} == dup
+
+
+def test_similar_leaves_no_pair_out(spark):
+    """Pairs at the very similarity and just below it, a hub and its spokes: components equal brute force, and what is connected is not asked again."""
+    rows = []
+    for g in range(100):  # of 36 shingles 32 are in both, or of 35 shingles 31: 0.8 and 0.795
+        words = [f"w{g}_{k}" for k in range(40 if g % 2 else 39)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([*words[:-4], *[f"x{g}_{k}" for k in range(4)]]))]
+    hub = [f"h{k}" for k in range(60)]
+    for c in range(40):  # each is near the hub, few are near each other
+        rows.append((1000 + c, " ".join([*hub[: 8 + c], f"s{c}", *hub[9 + c :]])))
+    rows.append((2000, " ".join(hub)))
+    root, _ = jaccard_classes(rows)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs(spark, rows)).collect()} == root
+    members = spark.createDataFrame([(k, n) for k in range(5) for n in range(60)], "key long, node long")
+    asked = []
+    simhash._meetings(members, lambda pairs: asked.append(pairs.count()) or pairs)
+    assert asked == [59]
