@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from eventlane.llm.text import id_text
+from eventlane.llm.text import held, id_text
 
 #: Entries of each generation of what a worker remembers (runs between blanks, matches), letters of the longest, and ranks of pairs.
 UNITS, PIECES = 1 << 18, 1 << 17
@@ -264,16 +264,10 @@ class Vocabulary:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_LOADED: dict[str, Vocabulary] = {}
-
-
 def loaded(lines: bytes, pattern: str, units: int = UNITS) -> Vocabulary:
-    """A worker keeps one vocabulary, whatever the number of its tasks."""
+    """A worker keeps one vocabulary, whatever the number of its tasks, until an operator releases it."""
     name = hashlib.sha256(b"%d " % units + lines + pattern.encode()).hexdigest()
-    if name not in _LOADED:
-        _LOADED.clear()
-        _LOADED[name] = Vocabulary.parse(lines, pattern, units)
-    return _LOADED[name]
+    return held(name, lambda: Vocabulary.parse(lines, pattern, units))
 
 
 def _slices(batches):

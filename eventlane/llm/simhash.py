@@ -16,8 +16,9 @@ many different fingerprints share has an exact way of its own (``links``).
 far too strict: fingerprints of 640 bits in 27 segments of 23 bits, each decoded
 to its codeword.  Two texts meet where two segments decode equally, and each asks
 the least text that it meets.  All that these links leave apart meets again at
-its rarest shingles, which no pair at the similarity can miss; each pair is
-compared on its shingle sets.
+its rarest shingles, which no pair at the similarity can miss.  Of the pairs that
+meet there, those are compared on their shingle sets whose places of the shingle and
+parities (``parity``) do not rule the similarity out.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlane.llm.graph import components, cut, forest
-from eventlane.llm.text import id_text, splitmix, texts
+from eventlane.llm.text import id_text, release, splitmix, texts
 
 SHINGLE = 3
 SEED = 42
@@ -216,6 +217,17 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=2, bitorder="little").reshape(WORDS, 8).view(np.uint64).ravel()
 
 
+#: Words of 64 bits in a parity.
+MARKS = 8
+_MARKS = [f"p{k}" for k in range(MARKS)]
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """``MARKS`` words: for each of their bits whether an odd number of the distinct hashes fall on it.  Two sets differ in as many hashes as their parities in bits, or more."""
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % (MARKS * 64), minlength=MARKS * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 #: Passes over the keys: what one of them shuffles has gone before the next.
 PASSES = 5
 
@@ -233,32 +245,47 @@ def wide_keys(fps: np.ndarray, golay: Golay, part: int = 0, parts: int = 1) -> n
 
 def _rooted(members: DataFrame, found: DataFrame) -> DataFrame:
     """``members`` with the component of each node."""
-    roots = components(found).select(F.col("node").alias("n"), "root")
-    return members.join(roots, F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    roots = components(found).select(F.col("node").alias("m"), "root")
+    return members.join(roots, F.col("node") == F.col("m"), "left").select(*members.columns, F.coalesce("root", "node").alias("root"))
+
+
+def _near(similarity: float):
+    """Whether a row of a key and a leader (``led_`` before its names) may be alike.
+
+    At the least shingle of a pair that is alike, both have as many left as they must
+    share, and their parities differ in no more bits than their sets may differ in.
+    """
+    common = similarity / (1 + similarity) * (F.col("n") + F.col("led_n")) - 1e-6
+    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"led_{p}"))) for p in _MARKS), F.lit(0))
+    return (F.least("rest", "led_rest") >= common) & (differ <= F.col("n") + F.col("led_n") - 2 * common)
 
 
-def _meetings(members: DataFrame, verify, found: DataFrame | None = None) -> DataFrame:
+def _meetings(members: DataFrame, verify, found: DataFrame | None = None, marks: DataFrame | None = None, near=None) -> DataFrame:
     """Verified pairs ``a``, ``b`` that connect all that are alike among the ``members`` (``key``, ``node``) of each key.
 
     ``found``: links known before.  Keys whose members are one component drop
-    out.  Of the others the least nodes are compared with all members of other
-    components: one a key in the first round, then eight, 64 and so on, until
-    every pair of two components has been.
+    out for good.  Of the others the least nodes are compared with all members of
+    other components: one a key in the first round, then eight, 64 and so on, until
+    every pair of two components has been.  ``near``: a condition on a member and a
+    leader (``led_`` before its names) that rules pairs out at this key; it may use what
+    else is in ``members`` and, by ``node``, in ``marks``.
     """
     tried, most, had = None, 1, 0
     if found is None:
         found = members.sparkSession.createDataFrame([], "a long, b long")
+    more = (lambda d: d) if marks is None else (lambda d: d.join(marks.withColumnRenamed("node", "m"), F.col("node") == F.col("m")).drop("m"))
     while True:
         of = cut(_rooted(members, found))
-        sizes = of.groupBy(F.col("key").alias("held")).agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n"))
-        live = sizes.where((F.col("x") != F.col("y")) & (F.col("n") > had + 1)).select("held")
+        sizes = of.groupBy(F.col("key").alias("held")).agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size"))
+        live = sizes.where((F.col("x") != F.col("y")) & (F.col("size") > had + 1)).select("held")
         of = cut(of.join(live.hint("merge"), F.col("key") == F.col("held"), "left_semi"))
         if of.isEmpty():
             return found
-        ranked = of.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("place") <= most)
-        leaders = ranked.select(F.col("key").alias("led"), F.col("node").alias("leader"), F.col("root").alias("leads"))
-        apart = (F.col("key") == F.col("led")) & (F.col("node") > F.col("leader")) & (F.col("root") != F.col("leads"))
-        asked = of.join(leaders, apart).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+        members = of.drop("root")
+        leaders = more(of.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("place") <= most))
+        leaders = leaders.select(*[F.col(c).alias(f"led_{c}") for c in leaders.columns])
+        apart = (F.col("key") == F.col("led_key")) & (F.col("node") > F.col("led_node")) & (F.col("root") != F.col("led_root"))
+        asked = more(of).join(leaders, apart if near is None else apart & near).select(F.col("node").alias("a"), F.col("led_node").alias("b")).distinct()
         if tried is not None:
             asked = asked.join(tried, ["a", "b"], "left_anti")
         asked = cut(asked)
@@ -275,7 +302,8 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     their least shingles (rare ones before frequent ones), as many and one more
     than a text may lack: two that are alike share one of these, so none is left
     out, and a node with more shingles of its own than that is like no other.
-    Pairs of nodes that are connected already are not compared.  Null texts and
+    Pairs of nodes that are connected already are not compared, nor those that
+    what is left of them there or their parities rule out.  Null texts and
     texts without a word are one node.  Ids may repeat or be null, as in
     ``near_duplicates``.  The only columns used are ``doc_id`` and ``text``.
     """
@@ -284,20 +312,23 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     def wide(batches):
         import xxhash
 
+        release()
         for b in batches:
-            fp, node, n = [], [], []
+            fp, odd, node, n = [], [], [], []
             for t in texts(b.column(1)):
                 own = bag(t, width)
                 fp.append(wide_fingerprint(own))
+                odd.append(parity(own))
                 node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 n.append(len(own))
-            fp = np.array(fp, np.uint64).reshape(-1, WORDS).view(np.int64)
-            words = [pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WORDS)]
+            fp = np.concatenate([np.array(fp, np.uint64).reshape(-1, WORDS), np.array(odd, np.uint64).reshape(-1, MARKS)], axis=1).view(np.int64)
+            words = [pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WORDS + MARKS)]
             node = pa.array(np.array(node, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), node, pa.array(n, pa.int32()), *words], ["doc_id", "text_hash", "node", "n", *_WORDS])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), node, pa.array(n, pa.int32()), *words], ["doc_id", "text_hash", "node", "n", *_WORDS, *_MARKS])
 
     def keyed(part: int):
         def run(batches):
+            release()
             golay = Golay()
             for b in batches:
                 for at in range(0, len(b), 1024):
@@ -310,6 +341,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
         return run
 
     def bags(batches):
+        release()
         for b in batches:
             for at in range(0, len(b), 256):
                 s = b.slice(at, 256)
@@ -318,6 +350,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
 
     def listed(part: int):
         def run(batches):
+            release()
             for b in batches:
                 for at in range(0, len(b), 256):
                     s = b.slice(at, 256)
@@ -328,6 +361,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
         return run
 
     def alike(batches):
+        release()
         for b in batches:
             a, c, left, right = (b.column(k) for k in range(4))
             good = np.zeros(len(b), bool)
@@ -340,12 +374,14 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
             yield pa.RecordBatch.from_arrays([a.filter(keep), c.filter(keep)], ["a", "b"])
 
     d = id_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    fps = cut(d.mapInArrow(wide, f"doc_id {kind}, text_hash long, node long, n int, {', '.join(f'{w} long' for w in _WORDS)}"))
+    fps = cut(d.mapInArrow(wide, f"doc_id {kind}, text_hash long, node long, n int, {', '.join(f'{w} long' for w in (*_WORDS, *_MARKS))}"))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash"))
-    nodes = cut(fps.groupBy("node").agg(F.min(row).alias("low"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in _WORDS]))
-    chosen = nodes.select("node", F.col("low.id").alias("id"), F.col("low.text_hash").alias("hash"))
-    own = d.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash").eqNullSafe(F.col("hash")))).select("node", "text")
-    sets = cut(own.mapInArrow(bags, "node long, bag binary").groupBy("node").agg(F.min("bag").alias("bag")))
+    nodes = cut(fps.groupBy("node").agg(F.min(row).alias("low"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in (*_WORDS, *_MARKS)]))
+    # one exchange of texts, by id and hash, for both the repeats and the join
+    chosen = nodes.select("node", F.struct(F.col("low.id").alias("doc_id"), F.col("low.text_hash").alias("text_hash")).alias("of"))
+    once = d.select(F.struct("doc_id", "text_hash").alias("row"), "text").groupBy("row").agg(F.min("text").alias("text"))
+    own = once.join(chosen.hint("merge"), F.col("row") == F.col("of")).select("node", "text")
+    sets = cut(own.mapInArrow(bags, "node long, bag binary"))
 
     def verify(asked: DataFrame) -> DataFrame:
         side = lambda k: sets.select(F.col("node").alias(k), F.col("bag").alias(f"bag_{k}"))
@@ -364,13 +400,18 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     for part in range(PASSES):
         k = sets.where(F.length("bag") > 0).mapInArrow(listed(part), "key long, node long")
         often = k.groupBy(F.col("key").alias("held")).agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-        shared = cut(k.join(often.hint("merge"), F.col("key") == F.col("held")).select("node", "often", "key"))
+        # in one number: how often, two steps to a power of two, and 58 bits of the hash; texts that meet where these are equal are compared all the same
+        order = F.shiftleft(F.least(F.lit(31), F.floor(2 * F.log2("often"))).cast("long"), 58).bitwiseOR(F.shiftrightunsigned("key", 6))
+        shared = k.join(often.hint("merge"), F.col("key") == F.col("held")).select("node", order.alias("order"))
+        shared = cut(shared.groupBy("node").agg(F.collect_list("order").alias("g")))
         rare = shared if rare is None else rare.unionByName(shared)
     found = cut(verify(cut(met.groupBy("a").agg(F.min("b").alias("b")))))
-    ordered = rare.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("g")).join(nodes.select(F.col("node").alias("m"), "n"), F.col("node") == F.col("m"))
+    ordered = rare.groupBy("node").agg(F.array_sort(F.flatten(F.collect_list("g"))).alias("g")).join(nodes.select(F.col("node").alias("m"), "n"), F.col("node") == F.col("m"))
     spare = F.size("g") - F.ceil(similarity * F.col("n") - 1e-9) + 1  # of the least shingles those that others have
-    members = cut(ordered.where(spare > 0).select("node", F.explode(F.slice("g", F.lit(1), spare.cast("int"))).alias("s")).select("s.key", "node"))
-    roots = components(_meetings(members, verify, found).mapInArrow(forest, "a long, b long"))
+    least = ordered.where(spare > 0).select("node", "n", F.size("g").alias("all"), F.posexplode(F.slice("g", F.lit(1), spare.cast("int"))).alias("i", "key"))
+    members = cut(least.select("key", "node", "n", (F.col("all") - F.col("i")).alias("rest")))
+    marks = nodes.select("node", *_MARKS)
+    roots = components(_meetings(members, verify, found, marks, _near(similarity)).mapInArrow(forest, "a long, b long"))
     of = nodes.select("node", "low").join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "low.no_id", "low.id", F.coalesce("root", "node").alias("root"))
     named = of.groupBy("root").agg(F.min(F.struct("no_id", "id")).alias("low")).select(F.col("root").alias("r"), F.col("low.id").alias("component_id"))
     named = of.join(named, F.col("root") == F.col("r")).select(F.col("node").alias("named"), "component_id")

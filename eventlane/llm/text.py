@@ -89,6 +89,23 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What this worker keeps from task to task, by the operator's name for it: one thing only.
+_HELD: dict = {}
+
+
+def held(name, make):
+    """What ``make`` gives, made once in this worker as long as nothing else is held or released."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def release() -> None:
+    """Lets go what tasks of another operator left in this worker: it would count as memory of an operator that does not use it."""
+    _HELD.clear()
+
+
 def crc_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null ids give null."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))

@@ -518,3 +518,42 @@ def test_similar_leaves_no_pair_out(spark):
     asked = []
     simhash._meetings(members, lambda pairs: asked.append(pairs.count()) or pairs)
     assert asked == [59]
+
+
+def test_similar_compares_few_of_the_texts_that_only_meet(spark, monkeypatch):
+    """Texts put together from the same passages meet at their rarest shingles, but none is like another: sets are read for few pairs."""
+    rng, seen, cut = random.Random(5), [], simhash.cut
+    passages_ = [[f"p{k}x{i}" for i in range(40)] for k in range(16)]
+    rows = [(i, " ".join(w for k in rng.sample(range(16), 8) for w in passages_[k])) for i in range(50)]
+    rows.append((50, rows[7][1] + " more"))
+
+    def counted(df):
+        out = cut(df)
+        if out.columns == ["a", "b"]:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    root, _ = jaccard_classes(rows)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs(spark, rows)).collect()} == root
+    assert max(seen) < 100  # of 1,275 pairs
+
+
+def test_parities_never_differ_more_than_sets():
+    rng = np.random.default_rng(3)
+    for n, same in ((40, 36), (700, 10), (3, 3)):
+        h = np.unique(rng.integers(0, 2**63, 2 * n, np.uint64))
+        a, b = h[:n], np.concatenate([h[:same], h[n : 2 * n - same]])
+        differ = sum(int(x).bit_count() for x in simhash.parity(a) ^ simhash.parity(b))
+        assert differ <= len(np.setxor1d(a, b)) and (same < n) == (differ > 0)
+
+
+def test_a_vocabulary_goes_when_another_operator_starts():
+    from eventlane.llm import text
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        lines = f.read()
+    first = bpe.loaded(lines, public_tokenizers.PATTERN)
+    assert bpe.loaded(lines, public_tokenizers.PATTERN) is first
+    text.release()
+    assert bpe.loaded(lines, public_tokenizers.PATTERN) is not first
