@@ -28,7 +28,6 @@ another component than the holder.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from itertools import groupby
 
 import numpy as np
@@ -248,23 +247,33 @@ class Join:
             got[x:y] = np.frombuffer(blob, _HOLDER)
         return got[group]
 
-    def candidates(self, b, k, holder):
-        """Candidate passages: row, holder's id, block and row, range of tokens in both, shift."""
+    def candidates(self, b, k, holder, of):
+        """Candidate passages: row, holder's id, block and row, range of tokens in both, shift.  ``of``: the holder's number, of each node in ``k``."""
         size = self.size
-        later = np.flatnonzero(holder["id"] < b.ids[b.doc[k]])
-        k, holder = k[later], holder[later]
-        shift = holder["place"] - b.place[k]
-        order = np.lexsort((b.begin[k], shift, holder["row"], holder["chunk"], b.doc[k]))
-        k, holder, shift = k[order], holder[order], shift[order]
-        if not len(k):
+        later = np.flatnonzero(holder["id"][of] < b.ids[b.doc[k]])
+        if not len(later):
             return []
-        first = np.flatnonzero(_new(b.doc[k]) | _new(holder["chunk"]) | _new(holder["row"]) | np.append(True, np.diff(shift) > SLACK))
-        begin, end = b.begin[k], b.end[k] + size
-        their_begin, their_end = holder["place"] - holder["begin"], holder["place"] - holder["end"] + size
+        k, of = k[later], of[later]
+        row, begin = np.unique(holder[["chunk", "row"]], return_inverse=True)[1][of] + b.doc[k] * len(holder), b.begin[k]
+        shift = holder["place"][of] - b.place[k]
+        order = np.lexsort(((shift - shift.min()) * (int(begin.max()) + 1) + begin, row))
+        k, of, shift, row, begin = k[order], of[order], shift[order], row[order], begin[order]
+        place = holder["place"].astype(np.int64)
+        end, their_begin, their_end = b.end[k] + size, (place - holder["begin"])[of], (place - holder["end"] + size)[of]
+        # what has one shift and overlaps is one interval; those of about the same shift are joined after that
+        new = _new(row) | _new(shift)
+        group = np.cumsum(new)
+        for lo, hi in ((begin, end), (their_begin, their_end)):
+            far = int(hi.max()) + 1
+            new[1:] |= lo[1:] + group[1:] * far >= np.maximum.accumulate(hi + group * far)[:-1]
+        at = np.flatnonzero(new)
+        begin, end, their_begin, their_end = begin[at], np.maximum.reduceat(end, at), np.minimum.reduceat(their_begin, at), np.maximum.reduceat(their_end, at)
+        doc, o, shift, row = b.doc[k[at]], holder[of[at]], shift[at], row[at]
+        first = np.flatnonzero(_new(row) | np.append(True, np.diff(shift) > SLACK))
         out = []
-        for x, y in zip(first.tolist(), np.append(first[1:], len(k)).tolist(), strict=True):
+        for x, y in zip(first.tolist(), np.append(first[1:], len(at)).tolist(), strict=True):
             reach = []
-            for i in (np.argsort(begin[x:y], kind="stable") + x).tolist():  # join what overlaps in both
+            for i in (np.argsort(begin[x:y], kind="stable") + x).tolist() if y - x > 1 else (x,):  # join what overlaps in both
                 own = int(begin[i]), int(end[i]), int(their_begin[i]), int(their_end[i])
                 r = reach[-1] if reach else None
                 if r and own[0] < r[1] and own[2] < r[3] and r[2] < own[3]:
@@ -272,9 +281,8 @@ class Join:
                     r[4].add(int(shift[i]))
                 else:
                     reach.append([*own, {int(shift[i])}])
-            o = holder[x]
             for lo, hi, olo, ohi, shifts in reach:
-                out += [(int(b.doc[k[x]]), int(o["id"]), int(o["chunk"]), int(o["row"]), lo, hi - 1, olo, ohi - 1, s) for s in sorted(shifts)]
+                out += [(int(doc[x]), int(o["id"][x]), int(o["chunk"][x]), int(o["row"][x]), lo, hi - 1, olo, ohi - 1, s) for s in sorted(shifts)]
         return out
 
     def _asks(self, key, found):
@@ -287,7 +295,8 @@ class Join:
 
     def ask(self, key, t, answers):
         b = Block.read(t)
-        return self._asks(key, self.candidates(b, np.arange(len(b.doc)), self._holding(b.key, answers)))
+        every = np.arange(len(b.doc))
+        return self._asks(key, self.candidates(b, every, self._holding(b.key, answers), every))
 
     def ask_again(self, key, t, answers):
         known, opened, named = _apart(answers, 3)
@@ -296,20 +305,23 @@ class Join:
         name = b.key[k]
         at = np.flatnonzero(_new(name))
         cuts = np.append(at, len(k)).tolist()
-        node, held = [k[:0]], [np.zeros(0, _RANKED)]
-        for (x, _), blob in zip(_answered(name[at], self.digits, named), named.column("doc").to_pylist(), strict=True):
-            h = np.frombuffer(blob, _RANKED)
+        ids, roots = b.ids[b.doc[k]], root[b.doc[k]]
+        held = [np.zeros(0, _RANKED), *(np.frombuffer(x, _RANKED) for x in named.column("doc").to_pylist())]
+        base = np.cumsum([len(h) for h in held]).tolist()
+        node, of = [k[:0]], [k[:0]]
+        for (x, _), h, low in zip(_answered(name[at], self.digits, named), held[1:], base, strict=False):
+            their_ids, their_roots = h["id"].copy(), h["root"].copy()
             new = np.flatnonzero(_new(h["of"]))
-            for i, j in zip(new.tolist(), np.append(new[1:], len(h)).tolist(), strict=True):
-                g = x + int(h["of"][i])
-                own, their = k[cuts[g] : cuts[g + 1]], h[i:j]
-                for y in range(0, len(own), 1024):
-                    part = own[y : y + 1024]
-                    want = (free[part][:, None] | (root[b.doc[part]][:, None] != their["root"])) & (their["id"] < b.ids[b.doc[part]][:, None])
-                    p, q = np.nonzero(want)
-                    node.append(part[p])
-                    held.append(their[q])
-        return self._asks(key, self.candidates(b, np.concatenate(node), np.concatenate(held)))
+            for i, j, g in zip(new.tolist(), np.append(new[1:], len(h)).tolist(), h["of"][new].tolist(), strict=True):
+                lo, hi, n = cuts[x + g], cuts[x + g + 1], j - i
+                for y in range(lo, hi, 1024):
+                    z = min(y + 1024, hi)
+                    want = (free[k[y:z]][:, None] | (roots[y:z, None] != their_roots[i:j])) & (their_ids[i:j] < ids[y:z, None])
+                    f = np.flatnonzero(want)
+                    q = f // n
+                    node.append(k[y + q])
+                    of.append(low + i + f - q * n)
+        return self._asks(key, self.candidates(b, np.concatenate(node), np.concatenate(held), np.concatenate(of)))
 
     def serve(self, key, t, asks):
         """Answers what is asked of this block, and passes its own candidates on (without an asker)."""
@@ -333,24 +345,53 @@ class Join:
                 got[x : y - m + 1] |= _counts(mine[x:y] == theirs[x + s : y + s], m) >= self.overlap
         left = np.flatnonzero(~got & (_counts(np.isin(mine, theirs), m) >= self.overlap))
         if len(left):
-            order = np.argsort(theirs, kind="stable")
-            again = np.zeros(len(theirs), bool)  # places whose token was there less than a window before
-            again[order[1:]] = (theirs[order[1:]] == theirs[order[:-1]]) & (np.diff(order) < m)
-            plain = _counts(again, m) == 0
-        for i in left.tolist():
-            own = mine[i : i + m]
-            s = np.sort(own)
-            common = _counts(s[np.minimum(np.searchsorted(s, theirs), m - 1)] == theirs, m)  # too many only where tokens repeat
-            if (common[plain] >= self.overlap).any():
-                got[i] = True
-                continue
-            mine_of = Counter(own.tolist())
-            for j in np.flatnonzero(~plain & (common >= self.overlap)).tolist():
-                if (mine_of & Counter(theirs[j : j + m].tolist())).total() >= self.overlap:
-                    got[i] = True
-                    break
+            got[left] = self._alike(mine, theirs, left)
         return np.flatnonzero(got)
 
+    def _alike(self, mine, theirs, left):
+        """Whether the windows of ``mine`` that start at ``left`` are like some window of ``theirs``.
+
+        Equal tokens are counted for all pairs of windows at once: too many only where
+        tokens repeat, so most are ruled out, and what has no repeats is decided.
+        """
+        m = self.size
+        out = np.zeros(len(left), bool)
+        plain = _counts(_again(theirs, m), m) == 0
+        own_plain = _counts(_again(mine, m), m) == 0
+        order = np.argsort(theirs, kind="stable")
+        rank = np.empty(len(theirs), np.int64)
+        rank[order] = np.arange(len(theirs))
+        x, step = 0, max(1, (1 << 20) // len(theirs) - m)
+        while x < len(left):
+            lo = int(left[x])
+            y = int(np.searchsorted(left, lo + step))
+            equal = mine[lo : int(left[y - 1]) + m, None] == theirs
+            total = np.zeros((len(equal) + 1, len(theirs)), np.int32)
+            np.cumsum(equal, axis=0, out=total[1:])
+            by_row = total[m:] - total[:-m]
+            total = np.zeros((len(by_row), len(theirs) + 1), np.int32)
+            np.cumsum(by_row, axis=1, out=total[:, 1:])
+            may = (total[:, m:] - total[:, :-m] >= self.overlap)[left[x:y] - lo]
+            out[x:y] = own_plain[left[x:y]] & (may & plain).any(1)
+            for i in (np.flatnonzero(may.any(1) & ~out[x:y]) + x).tolist():
+                out[i] = self._like_any(mine[left[i] : left[i] + m], theirs, order, rank)
+            x = y
+        return out
+
+    def _like_any(self, own, theirs, order, rank):
+        """Whether a window is like some window of ``theirs``, repeats counted: the token at a place counts in the windows that have fewer of it before than ``own`` has."""
+        m, n = self.size, len(theirs) - self.size + 1
+        value, times = np.unique(own, return_counts=True)
+        k = np.minimum(np.searchsorted(value, theirs), len(value) - 1)
+        p = np.flatnonzero(value[k] == theirs)
+        r = rank[p] - times[k[p]]
+        before = order[np.maximum(r, 0)]
+        begin = np.maximum(np.maximum(p - m + 1, 0), np.where((r >= 0) & (theirs[before] == theirs[p]), before + 1, 0))
+        end = np.minimum(p, n - 1) + 1
+        some = begin < end
+        change = np.bincount(begin[some], minlength=n + 1) - np.bincount(end[some], minlength=n + 1)
+        return bool((np.cumsum(change)[:n] >= self.overlap).any())
+
     def last(self, key, t, answers):
         b = Block.read(t)
         held, found = {}, []
@@ -416,6 +457,14 @@ def _state(b: Block, known: pa.Table, size: int):
     return root, (k < 0) | ((b.doc << 40 | b.end + size + SHINGLE - 1) > end[np.maximum(k, 0)])
 
 
+def _again(x: np.ndarray, width: int) -> np.ndarray:
+    """Whether the token at a place was there less than a window before."""
+    order = np.argsort(x, kind="stable")
+    again = np.zeros(len(x), bool)
+    again[order[1:]] = (x[order[1:]] == x[order[:-1]]) & (np.diff(order) < width)
+    return again
+
+
 def _counts(x: np.ndarray, width: int) -> np.ndarray:
     """How many are true in each window."""
     total = np.append(0, np.cumsum(x))

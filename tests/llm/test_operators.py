@@ -557,3 +557,37 @@ def test_a_vocabulary_goes_when_another_operator_starts():
     assert bpe.loaded(lines, public_tokenizers.PATTERN) is first
     text.release()
     assert bpe.loaded(lines, public_tokenizers.PATTERN) is not first
+
+
+def test_candidates_cover_every_node_in_few_intervals():
+    """Each node that was asked and its holder lie in a candidate; many of one shift are one interval."""
+    rng = np.random.default_rng(4)
+    n, size = 4000, 46
+    place = np.sort(rng.integers(50, 9000, n))
+    block = passages.Block(
+        {"ids": np.array([7, 9]), "null": np.zeros(2, bool), "n_words": np.array([9100] * 2), "tok": np.zeros(0, np.uint32), "doc": np.repeat([0, 1], n // 2), "place": place, "key": np.arange(n, dtype=np.uint64), "before": rng.integers(20, 46, n), "after": rng.integers(0, 20, n)}
+        | {k: np.zeros(0, np.int64) for k in ("reg_doc", "reg_at", "reg_size")}
+    )
+    holder = np.zeros(n, passages._RANKED)
+    shift = rng.choice([0, 3, 500], n)
+    for name, x in (("id", rng.choice([1, 8], n)), ("row", rng.integers(0, 2, n)), ("place", place + shift), ("begin", rng.integers(20, 46, n)), ("end", rng.integers(0, 20, n)), ("chunk", rng.integers(0, 2, n))):
+        holder[name] = x
+    holder["id"] = np.where(holder["row"] == 0, 1, 8)
+    every = np.arange(n)
+    found = passages.Join(1, size, 0.8).candidates(block, every, holder, every)
+    assert 0 < len(found) < n // 20
+    for i in range(0, n, 7):
+        h, d = holder[i], int(block.doc[i])
+        lo, hi, olo, ohi = block.begin[i], block.end[i] + size - 1, h["place"] - h["begin"], h["place"] - h["end"] + size - 1
+        assert (h["id"] < block.ids[d]) == any(c[:4] == (d, h["id"], h["chunk"], h["row"]) and c[4] <= lo and hi <= c[5] and c[6] <= olo and ohi <= c[7] for c in found)
+
+
+def test_windows_with_repeated_tokens_equal_brute_force():
+    rng, join = np.random.default_rng(6), passages.Join(1, 46, 0.8)
+    for k in range(60):
+        kinds = (3, 8, 30, 500)[k % 4]
+        mine, theirs = (rng.integers(0, kinds, n).astype(np.uint32) for n in (90, 110))
+        if k % 3:
+            theirs[20:80] = rng.permutation(mine[10:70])
+        want = [i for i in range(45) if any((Counter(mine[i : i + 46].tolist()) & Counter(theirs[j : j + 46].tolist())).total() >= 41 for j in range(65))]
+        assert join.windows(mine, theirs, [10] if k % 2 else []).tolist() == want
