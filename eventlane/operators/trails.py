@@ -35,6 +35,7 @@ class TrailFrame:
     schema: TrailSchema
     event_filter: EventFilter | None = None
     trail_filters: tuple[tuple[object, EventFilter], ...] = ()
+    trail_tables: tuple[tuple[DataFrame, EventFilter | None], ...] = ()
     only_diff: bool = False
     options: dict = field(default_factory=dict)
 
@@ -54,13 +55,21 @@ class TrailFrame:
         return replace(self, event_filter=f)
 
     def with_trail_filter(self, keys, f: EventFilter | None) -> TrailFrame:
-        """The filter of single trails; ``None`` removes it."""
+        """The filter of single trails, listed or in the first column of a table of any size; ``None`` removes it."""
+        if isinstance(keys, DataFrame):
+            return replace(self, trail_tables=(*self.trail_tables, (keys, f)))
         keys = list(dict.fromkeys(keys))
+        if self.trail_tables:  # what is given last holds, so the list goes behind the tables
+            kind = dict(self.df.dtypes)[self.schema.key]
+            return self.with_trail_filter(self.df.sparkSession.createDataFrame([(k,) for k in keys], f"listed {kind}"), f)
         listed = set(keys)
         left = tuple(x for x in self.trail_filters if x[0] not in listed)
         return replace(self, trail_filters=left if f is None else left + tuple((k, f) for k in keys))
 
     def trail_filter(self, key) -> EventFilter | None:
+        for keys, f in reversed(self.trail_tables):
+            if not keys.where(F.col(keys.columns[0]) == F.lit(key)).isEmpty():
+                return f
         return dict(self.trail_filters).get(key)
 
     def with_only_diff(self, on: bool = True) -> TrailFrame:
@@ -101,9 +110,11 @@ class TrailFrame:
     # scans
 
     def predicate(self, scan_filter: EventFilter | None = None) -> Column:
-        """The condition in effect: that of the scan, else of the trail, else of the frame."""
+        """The condition in effect: that of the scan, else of the trail, else of the frame (filters of tables of keys need a join: ``scan``)."""
         if scan_filter is not None:
             return scan_filter.column(self.schema)
+        if self.trail_tables:
+            raise InvalidOptionValue("trails whose filters are in tables have no predicate")
         base = F.lit(True) if self.event_filter is None else self.event_filter.column(self.schema)
         groups: list[tuple[EventFilter, list]] = []
         for k, f in self.trail_filters:
@@ -119,16 +130,20 @@ class TrailFrame:
         """Events that pass the filters in effect (in no order: see ``ordered``)."""
         if self.options.get("closed"):
             raise HandleClosed("the frame was closed")
-        if self.only_diff and (scan_filter is not None or self.event_filter is not None or self.trail_filters):
+        if self.only_diff and (scan_filter is not None or self.event_filter is not None or self.trail_filters or self.trail_tables):
             raise DiffWithFilter("changed items can't be read through a filter")
         if self.only_diff:
             return self.diff()
-        if scan_filter is None and len(self.trail_filters) > INLINE_KEYS:
+        if scan_filter is None and self._many:
             return self._joined_scan()
         return self.df.where(self.predicate(scan_filter))
 
+    @property
+    def _many(self) -> bool:
+        return bool(self.trail_tables) or len(self.trail_filters) > INLINE_KEYS
+
     def _joined(self) -> tuple[DataFrame, Column]:
-        """Many trail filters: all events with a key-to-filter table joined in (its size is that of a list in this process), and the condition in effect."""
+        """Many trail filters: all events with a key-to-filter table joined in (its size is that of a list in this process) and the tables of keys, and the condition in effect."""
         s, base = self.schema, F.lit(True) if self.event_filter is None else self.event_filter.column(self.schema)
         kinds: list[EventFilter] = []
         rows = []
@@ -143,6 +158,9 @@ class TrailFrame:
         c = F.when(F.col("filter_no").isNull(), base)
         for n, f in enumerate(kinds):
             c = c.when(F.col("filter_no") == n, f.column(s))
+        for n, (keys, f) in enumerate(self.trail_tables):
+            d = d.join(keys.select(F.col(keys.columns[0]).alias(f"table_key_{n}")).distinct(), F.col(s.key) == F.col(f"table_key_{n}"), "left")
+            c = F.when(F.col(f"table_key_{n}").isNotNull(), base if f is None else f.column(s)).otherwise(c)
         return d, c
 
     def _joined_scan(self) -> DataFrame:
@@ -245,8 +263,7 @@ class TrailFrame:
         """Events in effect for each trail; trails without any count 0 or are left out."""
         k = self.schema.key
         if with_empty:
-            many = scan_filter is None and len(self.trail_filters) > INLINE_KEYS
-            d, hit = self._joined() if many else (self.df, self.predicate(scan_filter))
+            d, hit = self._joined() if scan_filter is None and self._many else (self.df, self.predicate(scan_filter))
             return d.groupBy(k).agg(F.count(F.when(hit, 1)).alias("n"))
         return self.scan(scan_filter).groupBy(k).agg(F.count(F.lit(1)).alias("n"))
 
