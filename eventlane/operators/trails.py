@@ -173,10 +173,11 @@ class TrailFrame:
         return self.scan(scan_filter).repartition(s.key).sortWithinPartitions(s.key, s.time, s.seq)
 
     def in_trail_order(self, scan_filter: EventFilter | None = None) -> DataFrame:
-        """All events in one order: by trail id, then by time (a range-partitioned sort)."""
+        """All events in one order: by trail id, then by time, nulls last (a range-partitioned sort)."""
         s = self.schema
         k = F.col(s.key)
-        return self.scan(scan_filter).orderBy(key_order(k) if dict(self.df.dtypes)[s.key] == "string" else k, s.time, s.seq)
+        order = key_order(k) if dict(self.df.dtypes)[s.key] == "string" else k
+        return self.scan(scan_filter).orderBy(*[c.asc_nulls_last() for c in (order, F.col(s.time), F.col(s.seq))])
 
     def trail(self, key, scan_filter: EventFilter | None = None) -> DataFrame:
         """One trail; the key reaches the scan as a pushed filter."""

@@ -43,3 +43,16 @@ def test_the_trail_filter_given_last_holds(spark):
     assert counts(f) == {0: 0, 1: 5, 2: 5, 3: 10} and f.scan().count() == 20 and f.trail_filter(0) == none
     assert counts(f.with_trail_filter([2], none)) == {0: 0, 1: 5, 2: 0, 3: 10}
     assert counts(f.with_trail_filter(keys, None)) == {0: 0, 1: 10, 2: 10, 3: 10}
+
+
+def test_places_in_trail_order_are_those_of_one_sort(spark, tmp_path):
+    events(spark, tmp_path, [(None if i % 5000 == 7 else i * 7919 % 30011 % 997, f"v{i % 5}", f"{i * 31 % 1009:064d}") for i in range(30000)])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:  # many small partitions, of which adaptive execution joins some
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128k")
+        got = agrees(spark, "trail_order_scan", tmp_path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r[-1] for r in got) == list(range(1, 30001))
