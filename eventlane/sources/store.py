@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from eventlane.errors import InvalidOptionValue, NotFound, OutputExists, TimestampTooLarge, VersionMismatch
@@ -49,8 +51,10 @@ def write_frame(frame: TrailFrame, path: str, fmt: str = "dir", options: dict |
 
     ``dir`` keeps many files, dealt by ranges of the key and sorted by key and
     time, so that a key predicate skips files and row groups; ``package``
-    writes one file.  Counts and the largest time differences are taken in the
-    pass that writes; times beyond the limits leave no store behind.
+    writes one file: the same files, in the shared folder, are copied into it in
+    their order by a task that sorts nothing.  Counts and the largest time
+    differences are taken in the pass that writes first; times beyond the limits
+    leave no store behind.
     """
     spark, s = frame.df.sparkSession, frame.schema
     if fmt not in FORMATS:
@@ -59,9 +63,8 @@ def write_frame(frame: TrailFrame, path: str, fmt: str = "dir", options: dict |
         raise OutputExists(path)
     own = frame.extract()
     before = F.lag(s.time).over(own.window)
-    dealt = own.df.repartitionByRange(s.key) if fmt == "dir" else own.df.repartition(1)
     seen = Observation()
-    d = dealt.withColumn("before", before).observe(
+    d = own.df.repartitionByRange(s.key).withColumn("before", before).observe(
         seen,
         F.count(F.lit(1)).alias("num_events"),
         F.count(F.when(F.col("before").isNull(), 1)).alias("num_trails"),
@@ -71,11 +74,15 @@ def write_frame(frame: TrailFrame, path: str, fmt: str = "dir", options: dict |
         F.max(F.when(F.col("before").isNull(), F.col(s.time))).alias("last_start"),
     )
     data = f"data-{uuid.uuid4()}"
-    d.sortWithinPartitions(s.key, s.time, s.seq).drop("before").write.options(**(options or {})).parquet(f"{path}/{data}/batch=base")
+    base = f"{path}/{data}/batch=base"
+    parts = base if fmt == "dir" else f"{scratch(spark)}/parts-{uuid.uuid4()}"
+    d.sortWithinPartitions(s.key, s.time, s.seq).drop("before").write.options(**(options or {})).parquet(parts)
     m = seen.get
     low = m["min_timestamp"]
     if low is not None and (low < 0 or low >= TIME_LIMIT or (m["gap"] or 0) >= TIME_LIMIT or m["last_start"] - low >= TIME_LIMIT):
         raise TimestampTooLarge(f"from {low} to {m['max_timestamp']}")
+    if fmt == "package":
+        _in_order(spark, parts).coalesce(1).write.options(**(options or {})).parquet(base)
     row = (m["num_trails"], m["num_events"], s.num_fields, low, m["max_timestamp"], VERSION, list(s.fields), data)
     kinds = "num_trails long, num_events long, num_fields long, min_timestamp long, max_timestamp long, version long, fields array<string>, data string"
     try:
@@ -86,6 +93,12 @@ def write_frame(frame: TrailFrame, path: str, fmt: str = "dir", options: dict |
         raise
 
 
+def _in_order(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a folder, one after the other (a scan of the folder takes them by size)."""
+    d = spark.read.parquet(path)
+    return reduce(DataFrame.unionAll, [spark.read.schema(d.schema).parquet(unquote(f)) for f in sorted(d.inputFiles())])
+
+
 def stored_meta(spark: SparkSession, path: str):
     """The row written with the data: nothing is counted again."""
     for p in (path, path + SUFFIX):

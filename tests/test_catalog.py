@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from eventlane.operators import TrailFrame
 from eventlane.plans.filters import EventFilter
+from eventlane.sources import open_frame, write_frame
 
 
 def agrees(spark, name, at):
@@ -56,3 +57,25 @@ def test_places_in_trail_order_are_those_of_one_sort(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sorted(r[-1] for r in got) == list(range(1, 30001))
+
+
+def test_a_package_is_sorted_by_many_tasks_and_written_by_one(spark, tmp_path):
+    d = spark.range(0, 60000, 1, 1).select((F.col("id") * 7919 % 601).alias("k"), (F.col("id") * 31 % 997).alias("t"), "id", F.md5(F.col("id").cast("string")).alias("a"))
+    e = TrailFrame.of(d, "k", "t", "id", ("a",))
+    sc, name = spark.sparkContext, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "128k")
+        sc.setJobGroup("package", "")
+        write_frame(e, str(tmp_path / "p"), "package")
+    finally:
+        spark.conf.set(name, before)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(x) for j in tracker.getJobIdsForGroup("package") for x in tracker.getJobInfo(j).stageIds]
+    assert max(x.numTasks for x in stages if x) > 1  # the input has one partition
+    files = list(tmp_path.glob("p/data-*/batch=base/*.parquet"))
+    got = duckdb.sql(f"select trail_key, \"time\", seq, a from '{files[0]}'").fetchall()
+    assert len(files) == 1 and got == sorted(tuple(r) for r in e.df.collect())
+    write_frame(e.with_filter(EventFilter.match_none()), str(tmp_path / "none"), "package")
+    assert open_frame(spark, str(tmp_path / "none")).scan().count() == 0
