@@ -9,9 +9,11 @@ false.  Values are strings; ``''`` is the empty value, equal only to itself, so
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -148,34 +150,83 @@ def _together(clause, s: TrailSchema) -> list[Column]:
 
 
 def _counted(clauses, s: TrailSchema) -> Column:
-    """Very many clauses as tables instead of expressions: the clauses that hold are looked up by each field's value and counted.
+    """Very many clauses as tables instead of expressions: how many of them hold is looked up by each field's value.
 
-    A plan grows with the fields, not with the clauses; the tables are constants.
+    A plan grows with the fields, not with the clauses; the tables are constants,
+    and a value is found by its hash.  Where one field alone makes all clauses
+    hold, or all fields together too few, that decides; else the clauses that hold
+    are put together.
     """
     equal: dict[str, dict[str, list[int]]] = {}
     unequal: dict[str, dict[str, list[int]]] = {}
-    ranges: list[dict[str, int]] = []
+    ranges: list[tuple[int, int, int]] = []
     n = 0
     for c in clauses:
         known = [t for t in c if isinstance(t, TimeRange) or t.field in s.fields]
         barred = {(t.field, t.value) for t in known if isinstance(t, Term) and t.negated}
-        if any(isinstance(t, Term) and t.negated and t.field not in s.fields for t in c) or len(barred) > len({f for f, _ in barred}):
+        fields = {f for f, _ in barred}
+        if any(isinstance(t, Term) and t.negated and t.field not in s.fields for t in c) or len(barred) > len(fields) or any(isinstance(t, Term) and not t.negated and (t.field, t.value) in barred for t in known):
             continue  # always true
         for t in {t: None for t in known}:
             if isinstance(t, TimeRange):
-                ranges.append({"c": n, "a": t.start, "b": t.end})
-            else:
+                ranges.append((n, t.start, t.end))
+            elif t.negated or t.field not in fields:  # beside f != x, f = y says nothing more
                 (unequal if t.negated else equal).setdefault(t.field, {}).setdefault(t.value, []).append(n)
         n += 1
-    table = lambda d: F.from_json(F.lit(json.dumps(d)), "map<string,array<int>>")
-    at = lambda d, f: F.coalesce(F.try_element_at(table(d), F.col(f"`{f}`")), F.array().cast("array<int>"))
-    parts = [at(d, f) for f, d in equal.items()]
-    parts += [F.array_except(F.from_json(F.lit(json.dumps(sorted({c for x in d.values() for c in x}))), "array<int>"), at(d, f)) for f, d in unequal.items()]
+    counts, parts = [], []
+    for f in dict.fromkeys([*equal, *unequal]):
+        e, u = equal.get(f, {}), unequal.get(f, {})
+        every = sorted(c for x in u.values() for c in x)
+        c = F.col(f"`{f}`")
+        counts.append(_found(c, {v: len(e.get(v, ())) + len(every) - len(u.get(v, ())) for v in {**e, **u}}, "int", F.lit(len(every))))
+        none = F.array().cast("array<int>")
+        parts += [_found(c, e, "array<int>", none)] if e else []
+        parts += [F.array_except(_constant(every, "array<int>"), _found(c, u, "array<int>", none))] if u else []
     if ranges:
         time = F.col(f"`{s.time}`")
-        held = F.filter(F.from_json(F.lit(json.dumps(ranges)), "array<struct<c:int,a:long,b:long>>"), lambda r: (time >= r["a"]) & (time < r["b"]))
+        counts.append(_holding(time, ranges))
+        held = F.filter(_constant([{"c": c, "a": a, "b": b} for c, a, b in ranges], "array<struct<c:int,a:long,b:long>>"), lambda r: (time >= r["a"]) & (time < r["b"]))
         parts.append(F.transform(held, lambda r: r["c"]))
-    return F.size(F.array_distinct(F.concat(*parts))) == n if parts else F.lit(n == 0)
+    if not parts:
+        return F.lit(n == 0)
+    one = reduce(lambda a, b: a | b, [c == n for c in counts])
+    few = reduce(lambda a, b: a + b, counts) < n
+    return F.when(one, True).when(few, False).otherwise(F.size(F.array_distinct(F.concat(*parts))) == n)
+
+
+def _constant(value, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _found(c: Column, table: dict, kind: str, default: Column) -> Column:
+    """What ``table`` has for the string ``c``: one look at a list of small maps, by a hash of the string."""
+    size = max(1, len(table))
+    maps: list[dict] = [{} for _ in range(size)]
+    for v, x in table.items():
+        maps[zlib.crc32(v.encode("utf-8", "replace")) % size][v] = x
+    c = c.cast("string")
+    at = (F.crc32(c.cast("binary")) % size).cast("int")
+    return F.coalesce(F.try_element_at(F.get(_constant(maps, f"array<map<string,{kind}>>"), at), c), default)
+
+
+def _holding(time: Column, ranges: list[tuple[int, int, int]]) -> Column:
+    """How many clauses have a range with the time: a search in halves of the times where that number changes."""
+    change: dict[int, int] = {}
+    last = None
+    for c, a, b in sorted(ranges):  # ranges of one clause that overlap count once
+        if last and last[0] == c and a <= last[2]:
+            last[2] = max(last[2], b)
+            continue
+        if last:
+            change[last[1]], change[last[2]] = change.get(last[1], 0) + 1, change.get(last[2], 0) - 1
+        last = [c, a, b]
+    change[last[1]], change[last[2]] = change.get(last[1], 0) + 1, change.get(last[2], 0) - 1
+    times = sorted(change)
+    held = [0, *accumulate(change[t] for t in times)]
+    steps = _constant([1 << k for k in reversed(range(len(times).bit_length()))], "array<int>")
+    bounds = _constant(times, "array<long>")
+    at = F.aggregate(steps, F.lit(0), lambda x, y: F.when(F.coalesce(F.get(bounds, x + y - 1) <= time, F.lit(False)), x + y).otherwise(x))
+    return F.get(_constant(held, "array<int>"), at)
 
 
 def _either(columns: list[Column]) -> Column:

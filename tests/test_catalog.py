@@ -1,13 +1,15 @@
 """Registered queries against their statements, on tables made to tell them apart."""
 
 import datetime
+import random
+import time
 
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from eventlane.operators import TrailFrame
-from eventlane.plans.filters import EventFilter
+from eventlane.plans.filters import EventFilter, Term, TimeRange
 from eventlane.sources import open_frame, write_frame
 
 
@@ -79,3 +81,42 @@ def test_a_package_is_sorted_by_many_tasks_and_written_by_one(spark, tmp_path):
     assert len(files) == 1 and got == sorted(tuple(r) for r in e.df.collect())
     write_frame(e.with_filter(EventFilter.match_none()), str(tmp_path / "none"), "package")
     assert open_frame(spark, str(tmp_path / "none")).scan().count() == 0
+
+
+def test_many_clauses_cost_little_a_row(spark):
+    d = spark.range(0, 200000, 1, 4).select((F.col("id") % 7).alias("k"), F.col("id").alias("t"), F.concat(F.lit("v"), F.col("id") % 5).alias("a"), F.concat(F.lit("p"), F.col("id") % 9000).alias("b"))
+    f = EventFilter([[Term("a", "v1"), Term("b", f"p{i}")] for i in range(5000)])
+    e = TrailFrame.of(d, "k", "t", None, ("a", "b"))
+    e.scan(f).limit(1).count()
+    began = time.time()
+    assert e.scan(f).count() == 40000 and time.time() - began < 12
+
+
+def test_many_clauses_by_all_ways(spark):
+    """Clauses that only several fields and times together make hold, against the terms one by one."""
+    rng = random.Random(5)
+    rows = [(i % 3, i, rng.choice(["", "é", "b", "c", "'\""]), rng.choice(["", "x", "y", "z"])) for i in range(120)]
+    e = TrailFrame.of(spark.createDataFrame(rows, "k long, t long, a string, b string"), "k", "t", None, ("a", "b"))
+
+    def term():
+        if rng.random() < 0.3:
+            x = rng.randrange(-5, 110)
+            return TimeRange(x, x + rng.randrange(1, 70))
+        return Term(*rng.choice([("a", "é"), ("a", "b"), ("a", "'\""), ("a", ""), ("b", "x"), ("b", "y"), ("b", ""), ("b", "none"), ("no", "x")]), rng.random() < 0.35)
+
+    def holds(t, r):
+        if isinstance(t, TimeRange):
+            return t.start <= r[1] < t.end
+        return (dict(a=r[2], b=r[3]).get(t.field) == t.value) != t.negated
+
+    some = 0
+    for _ in range(12):
+        clauses = []
+        while len(clauses) < 150:  # each holds for most rows, so that some rows are left
+            c = [term() for _ in range(rng.randrange(1, 7))]
+            n = sum(any(holds(t, r) for t in c) for r in rows)
+            clauses += [c] if n > 100 or rng.random() < 0.0005 else []
+        want = [r[1] for r in rows if all(any(holds(t, r) for t in c) for c in clauses)]
+        assert sorted(r["time"] for r in e.scan(EventFilter(clauses)).collect()) == want
+        some += len(want)
+    assert some
