@@ -44,12 +44,18 @@ WORDS, SHINGLE, SIMILARITY = 50, 5, 0.8
 SLACK = 8
 #: By how much the places that are asked for an open signature grow a round.
 GROWTH = 64
+#: Pairs of places that are joined to candidates at once.
+PAIRS = 1 << 19
+#: Odd, for hashes of ranges of tokens, and its inverse.
+_BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _GAPS = np.zeros(256, bool)
 _GAPS[[9, 10, 11, 12, 13, 32]] = True
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 #: A holder of a signature in a block: id, component, place, row there, and starts of its windows before the place; of all blocks: with its block.
 _ENTRY_OF = [("id", "<i8"), ("root", "<i8"), ("place", "<i4"), ("row", "<i4"), ("begin", "<i2"), ("end", "<i2")]
 _OWN, _HOLDER = np.dtype(_ENTRY_OF), np.dtype([*_ENTRY_OF, ("chunk", "<i4")])
+#: One of several holders of an open signature in a block: also what stands around the place, and of all places there the last id that is in no verified passage and the range of components.
+_NAMED = np.dtype([*_ENTRY_OF, ("content", "<u8"), ("want", "<i8"), ("least", "<i8"), ("most", "<i8")])
 #: One of several holders, and which of the signatures that were sent it is for.
 _RANKED = np.dtype([*_ENTRY_OF, ("chunk", "<i4"), ("of", "<i4")])
 _STATE = "chunk int, part string, data binary"
@@ -141,6 +147,14 @@ class Block:
         x = int(self.reg_off[r]) + lo - int(self.reg_at[r])
         return self.tok[x : min(x + hi - lo + 1, int(self.reg_off[r + 1]))]
 
+    def contents(self, k: np.ndarray, size: int) -> np.ndarray:
+        """A hash of the tokens of all windows of each node, and of its place among them."""
+        r = np.searchsorted(self.at, self.doc[k] << 40 | self.begin[k], side="right") - 1
+        x, n = self.reg_off[r] + self.begin[k] - self.reg_at[r], self.end[k] - self.begin[k] + size
+        power, back = (np.cumprod(np.append(np.uint64(1), np.full(len(self.tok), z))) for z in (_BASE, _INVERSE))
+        total = np.append(np.uint64(0), np.cumsum(splitmix(self.tok.astype(np.uint64)) * power[:-1]))
+        return join_hash((total[x + n] - total[x]) * back[x], (n << 32 | self.place[k] - self.begin[k]).astype(np.uint64))
+
     @classmethod
     def table(cls, chunk: int, *values: np.ndarray) -> pa.Table:
         data = [np.asarray(x).astype(kind).tobytes() for x, kind in zip(values, cls.FIELDS.values(), strict=True)]
@@ -198,8 +212,8 @@ class Join:
         return Block.table(key[0].as_py(), ids, null, n_words, held, reg_doc, reg_at, size, doc, place, name, place - begin, place - end)
 
     @staticmethod
-    def _holders(b, k, root) -> np.ndarray:
-        out = np.zeros(len(k), _OWN)
+    def _holders(b, k, root, kind=_OWN) -> np.ndarray:
+        out = np.zeros(len(k), kind)
         d = b.doc[k]
         for name, x in zip(_OWN.names, (b.ids[d], root[d], b.place[k], d, b.place[k] - b.begin[k], b.place[k] - b.end[k]), strict=True):
             out[name] = x
@@ -231,13 +245,22 @@ class Join:
         return root, free, k[np.lexsort((b.place[k], b.doc[k], b.ids[b.doc[k]], b.key[k]))]
 
     def rename(self, key, t, answers, most):
-        """Each open signature's first ``most`` places in this block."""
+        """Each open signature's first ``most`` places in this block, of those with the same around them the first."""
         known, opened = _apart(answers)
         b, me = Block.read(t), key[0].as_py()
-        root, _, k = self._open(b, known, opened)
+        root, free, k = self._open(b, known, opened)
+        if not len(k):
+            return _pack(me, self.digits, b.key[k], doc=np.zeros(0, _NAMED))
         at = np.flatnonzero(_new(b.key[k]))
-        k = k[np.arange(len(k)) - np.repeat(at, np.diff(np.append(at, len(k)))) < most]
-        return _pack(me, self.digits, b.key[k], doc=self._holders(b, k, root))
+        group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(k))))
+        content, ids, roots = b.contents(k, self.size), b.ids[b.doc[k]], root[b.doc[k]]
+        kept = _distinct(group, content)
+        kept = kept[_ranks(group[kept]) < most]
+        out = self._holders(b, k[kept], root, _NAMED)
+        out["content"] = content[kept]
+        for name, f, x in (("want", np.maximum, np.where(free[k], ids, np.iinfo(np.int64).min)), ("least", np.minimum, roots), ("most", np.maximum, roots)):
+            out[name] = f.reduceat(x, at)[group[kept]]
+        return _pack(me, self.digits, b.key[k[kept]], doc=out)
 
     def _holding(self, name, answer):
         """The earliest holder of all, of each of these signatures."""
@@ -285,18 +308,29 @@ class Join:
                 out += [(int(doc[x]), int(o["id"][x]), int(o["chunk"][x]), int(o["row"][x]), lo, hi - 1, olo, ohi - 1, s) for s in sorted(shifts)]
         return out
 
+    def _found(self, b, k, holder, of):
+        """``candidates`` as arrays, by pieces of about ``PAIRS`` pairs; those of one row and one row of a holder stay together."""
+        theirs = holder["chunk"].astype(np.int64)[of] << 32 | holder["row"][of]
+        order = np.lexsort((theirs, b.doc[k]))
+        k, of, theirs = k[order], of[order], theirs[order]
+        cuts = np.flatnonzero(_new(b.doc[k]) | _new(theirs))
+        cuts = np.append(cuts[_new(cuts // PAIRS)], len(k)).tolist()
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            yield np.array(self.candidates(b, k[x:y], holder, of[x:y]), np.int64).reshape(-1, 9)
+
     def _asks(self, key, found):
         me = key[0].as_py()
-        ask = sorted({(c[2], c[3], c[6], c[7]) for c in found})
-        cols = list(zip(*ask, strict=True)) or [[], [], [], []]
+        found = np.concatenate([np.zeros((0, 9), np.int64), *found])
+        ask = np.unique(found[:, [2, 3, 6, 7]], axis=0)
+        cols = ask.T.tolist()
         n = len(ask)
-        own = np.array(found, np.int64).tobytes()
+        own = found.tobytes()
         return pa.table({"chunk": pa.array([*cols[0], me], pa.int32()), "asker": pa.array([me] * n + [None], pa.int32()), "row": pa.array([*cols[1], None], pa.int32()), "lo": pa.array([*cols[2], None], pa.int32()), "hi": pa.array([*cols[3], None], pa.int32()), "found": pa.array([None] * n + [own], pa.binary())})
 
     def ask(self, key, t, answers):
         b = Block.read(t)
         every = np.arange(len(b.doc))
-        return self._asks(key, self.candidates(b, every, self._holding(b.key, answers), every))
+        return self._asks(key, self._found(b, every, self._holding(b.key, answers), every))
 
     def ask_again(self, key, t, answers):
         known, opened, named = _apart(answers, 3)
@@ -312,7 +346,7 @@ class Join:
         for (x, _), h, low in zip(_answered(name[at], self.digits, named), held[1:], base, strict=False):
             their_ids, their_roots = h["id"].copy(), h["root"].copy()
             new = np.flatnonzero(_new(h["of"]))
-            for i, j, g in zip(new.tolist(), np.append(new[1:], len(h)).tolist(), h["of"][new].tolist(), strict=True):
+            for i, j, g in zip(new.tolist(), np.append(new[1:], len(h))[: len(new)].tolist(), h["of"][new].tolist(), strict=True):
                 lo, hi, n = cuts[x + g], cuts[x + g + 1], j - i
                 for y in range(lo, hi, 1024):
                     z = min(y + 1024, hi)
@@ -321,7 +355,7 @@ class Join:
                     q = f // n
                     node.append(k[y + q])
                     of.append(low + i + f - q * n)
-        return self._asks(key, self.candidates(b, np.concatenate(node), np.concatenate(held), np.concatenate(of)))
+        return self._asks(key, self._found(b, np.concatenate(node), np.concatenate(held), np.concatenate(of)))
 
     def serve(self, key, t, asks):
         """Answers what is asked of this block, and passes its own candidates on (without an asker)."""
@@ -475,6 +509,18 @@ def _new(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
 
 
+def _distinct(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Where each value is for the first time in its group; groups lie together."""
+    order = np.lexsort((value, group))
+    return np.sort(order[_new(group[order]) | _new(value[order])])
+
+
+def _ranks(group: np.ndarray) -> np.ndarray:
+    """Places from 0 in each group."""
+    at = np.flatnonzero(_new(group))
+    return np.arange(len(group)) - np.repeat(at, np.diff(np.append(at, len(group))))
+
+
 def _packed(values: list[np.ndarray]) -> np.ndarray:
     return np.ascontiguousarray(np.stack(values, 1).astype(np.int64)).view(np.dtype((np.void, 8 * len(values))))[:, 0]
 
@@ -510,27 +556,36 @@ def own_often(key, t):
 
 
 def own_ranked(key, t, fewest, most):
-    """Of each signature its places in all blocks from the ``fewest``-th up to the ``most``-th, by id and place."""
+    """Of each signature its places in all blocks from the ``fewest``-th up to the ``most``-th, by id and place.
+
+    Of places with the same windows the first stands for all: a window is like
+    those of the one as of the others, and these ask the first themselves.  A block
+    gets what its places may want: from another component, or before one that is
+    in no verified passage.
+    """
     a, cuts = _group(t)
-    own = np.concatenate([np.frombuffer(x, _OWN) for x in t.column("doc").to_pylist()])
+    own = np.concatenate([np.frombuffer(x, _NAMED) for x in t.column("doc").to_pylist()])
     of = np.repeat(t.column("chunk").to_numpy(), np.diff(cuts))
     order = np.lexsort((own["place"], own["row"], of, own["id"], a))
-    a_sorted = a[order]
-    at = np.flatnonzero(_new(a_sorted))
-    rank = np.arange(len(a)) - np.repeat(at, np.diff(np.append(at, len(a))))
+    name, group = np.unique(a, return_inverse=True)
+    order = order[_distinct(group[order], own["content"][order])]
+    rank = _ranks(group[order])
     chosen = order[(rank >= fewest) & (rank < most)]
     best = np.zeros(len(chosen), _RANKED)
-    for name in _OWN.names:
-        best[name] = own[name][chosen]
+    for field in _OWN.names:
+        best[field] = own[field][chosen]
     best["chunk"] = of[chosen]
-    cut_at = np.searchsorted(a[chosen], a_sorted[at]), np.searchsorted(a[chosen], a_sorted[at], side="right")
+    low, high = (np.searchsorted(group[chosen], np.arange(len(name)), side=side) for side in ("left", "right"))
     blobs = []
     for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        g = np.searchsorted(a_sorted[at], np.unique(a[x:y]))
-        n = cut_at[1][g] - cut_at[0][g]
-        got = best[np.repeat(cut_at[0][g] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        got["of"] = np.repeat(np.arange(len(g)), n)
-        blobs.append(got.tobytes())
+        at = np.flatnonzero(_new(a[x:y])) + x
+        g, got = group[at], []
+        for i, asks, b, e in zip(range(len(g)), own[at], low[g].tolist(), high[g].tolist(), strict=True):
+            h = best[b:e]
+            h = h[(h["id"] < asks["want"]) | (h["root"] != asks["least"]) | (h["root"] != asks["most"])]
+            h["of"] = i
+            got.append(h)
+        blobs.append(b"".join(h.tobytes() for h in got))
     return pa.table({"chunk": t.column("chunk"), "digit": t.column("digit"), "doc": pa.array(blobs, pa.binary()), "flag": pa.array([None] * len(blobs), pa.binary())})
 
 

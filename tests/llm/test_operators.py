@@ -591,3 +591,30 @@ def test_windows_with_repeated_tokens_equal_brute_force():
             theirs[20:80] = rng.permutation(mine[10:70])
         want = [i for i in range(45) if any((Counter(mine[i : i + 46].tolist()) & Counter(theirs[j : j + 46].tolist())).total() >= 41 for j in range(65))]
         assert join.windows(mine, theirs, [10] if k % 2 else []).tolist() == want
+
+
+def test_open_signatures_name_equal_places_once():
+    """What a block is sent about a signature grows with the different passages that have it, not with its places."""
+    import numpy as np
+    import pyarrow as pa
+
+    from eventlane.llm import passages
+
+    common = " ".join(f"w{i}" for i in range(60))
+    texts = [common if i % 4 else f"{common} then{i % 8} " + " ".join(f"x{j}" for j in range(50)) for i in range(240)]
+    blocks = [pa.table({"doc_id": pa.array(range(c, 240, 12)), "text": pa.array(texts[c::12])}) for c in range(12)]
+    j = passages.Join(1, 46, 0.8)
+    key = [(pa.scalar(c),) for c in range(12)]
+    often = passages.own_often(None, pa.concat_tables(j.first(k, t) for k, t in zip(key, blocks, strict=True)))
+    states = [j.shared(k, t, often.slice(c, 1)) for c, (k, t) in enumerate(zip(key, blocks, strict=True))]
+    renamed = []
+    for k, t in zip(key, states, strict=True):
+        n = len(np.unique(passages.Block.read(t).key))
+        flag = np.packbits(np.ones(n, bool)).tobytes()
+        renamed.append(j.rename(k, t, pa.table({"pass": [1], "digit": pa.array([0], pa.int32()), "flag": pa.array([flag], pa.binary())}), 4096))
+    named = pa.concat_tables(renamed)
+    sent = [np.frombuffer(x, passages._RANKED) for x in passages.own_ranked(None, named, 0, 4096).column("doc").to_pylist()]
+    keys = sum(len(np.unique(np.frombuffer(x, "<u8"))) for x in named.column("a").to_pylist())
+    assert all(len(x) for x in sent) and sum(map(len, sent)) < 8 * keys  # 240 places each, with a few contents
+    ids = {int(i) for x in sent for i in x["id"]}
+    assert 0 in ids and 1 in ids and max(ids) < 12
